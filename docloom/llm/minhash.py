@@ -3,8 +3,9 @@
 A signature is read as several sorted orders ("trees"): a tree's first ``DEPTH`` minima form a region key and eight
 further minima, a byte each, order the region's documents. Rows are dealt by range of (region, order, document), so
 even one region with a third of the corpus spreads over many tasks. Documents next to each other in an order are those
-with the longest common prefix; they are the first candidates. Regions that hold more than one group after that are
-searched fully, against a 256-bit sketch of the signature. Each candidate is confirmed on the full shingle sets.
+with the longest common prefix; they are the first candidates, and each is confirmed on the full shingle sets. Regions
+that hold more than one group after that are searched fully in blocks: every row outside the region's largest group
+against the region, by a 256-bit sketch of the signature, then on the full sets.
 
 Chance that a pair at the threshold 0.8 shares no region: (1 - 0.8**6)**40 = 5e-6; that the sketch rejects it: 6
 standard deviations."""
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch, mix64, shingles, word_hashes
 from docloom.llm.components import components
 
-TREES, DEPTH, FIRST_TREES, SKETCH_BITS = 40, 6, 4, 256
+TREES, DEPTH, FIRST_TREES, SKETCH_BITS, BLOCK = 40, 6, 4, 256, 256
 
 
 def _factors() -> np.ndarray:
@@ -129,6 +130,52 @@ def _confirmed(batches, percent: int):
         yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
+def _across(batches, percent: int, most: int):
+    """Rows sorted by block of a region -> the groups of linked documents: outer rows against inner ones of another group.
+
+    Sets whose sizes or sketches rule a link out are passed over, the rest is counted in full."""
+
+    def linked(rows):
+        rows = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for part in c for x in part] for c in zip(*rows, strict=True)]
+        doc, g, inner, outer, found, *sketch = rows
+        sets = [np.frombuffer(x, np.uint64) for x in found]
+        size = np.array([len(x) for x in sets])
+        bits = np.stack(sketch).view(np.uint64)
+        out = set()
+        for i in np.flatnonzero(outer):
+            near = inner & (g != g[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            near = np.flatnonzero(near)
+            near = near[np.bitwise_count(bits[:, near] ^ bits[:, i : i + 1]).sum(axis=0) <= most]
+            if not len(near):
+                continue
+            every = np.concatenate([sets[j] for j in near])
+            place = np.searchsorted(sets[i], every)
+            place[place == size[i]] = 0
+            shared = np.add.reduceat(sets[i][place] == every, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+            for j in near[100 * shared >= percent * (size[near] + size[i] - shared)]:
+                out.add((int(min(g[i], g[j])), int(max(g[i], g[j]))))
+        return out
+
+    def sent(out):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a_g", "b_g"])
+
+    held, of = [], None
+    for batch in batches:
+        where = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [batch.column(7).to_pylist()] + [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8, 12)]
+        edges = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            now = tuple(where[:, lo]) if hi > lo else of
+            if held and now != of:
+                yield sent(linked(held))
+                held = []
+            of = now
+            if hi > lo:
+                held.append([c[lo:hi] for c in columns])
+    if held:
+        yield sent(linked(held))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """pairs(a, b) whose full sets have percent of their union in common."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x"))
@@ -185,20 +232,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = scratch.keep(confirm(two.select("a", "b"), sets, percent).join(two, ["a", "b"]), "links-2")
     group = joined(group, more, scratch, "g2")
 
-    # 3. all pairs of a region whose groups still differ: each group but the region's largest against the region
+    # 3. whole regions whose groups still differ: each row outside a region's largest group against the region, in blocks
     rows = grouped(forest.select("key", F.col("doc").alias("a")).distinct(), group, "a").withColumnRenamed("a_g", "g")
-    mixed = rows.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key")
-    rows = scratch.keep(rows.join(mixed, "key").join(likely("a"), "a"), "mixed")
-    largest = rows.groupBy("key", "g").count().groupBy("key").agg(F.max(F.struct("count", "g")).alias("top"))
-    outer = scratch.keep(rows.join(largest, "key").filter("g <> top.g").drop("top"), "outer")
-    against = rows.select("key", F.col("g").alias("b_g"), *(F.col(c).alias("b" + c[1:]) for c in rows.columns if c not in ("key", "g")))
-    three = outer.withColumnRenamed("g", "a_g").join(against, "key").filter(f"a_g <> b_g AND {alike}")
-    three = three.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(F.col("a") < F.col("b"), F.col("a_g")).otherwise(F.col("b_g")).alias("a_g"), F.when(F.col("a") < F.col("b"), F.col("b_g")).otherwise(F.col("a_g")).alias("b_g")).distinct()
-    three = three.withColumnsRenamed({"x": "a", "y": "b"}).join(one.union(chain.select("a", "b")).distinct(), ["a", "b"], "left_anti")
-    three = scratch.keep(three, "three")
-    more = scratch.keep(confirm(three.select("a", "b"), sets, percent).join(three, ["a", "b"]), "links-3")
+    sizes = rows.groupBy("key", "g").count().groupBy("key").agg(F.max(F.struct("count", "g")).alias("top"), F.sum("count").alias("n"))
+    sizes = scratch.keep(sizes.filter("top.count < n").select("key", F.col("top.g").alias("top"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("nx"), F.expr(f"(n - top.count + {BLOCK - 1}) div {BLOCK}").alias("ny")), "sizes")
+    rows = rows.join(sizes, "key").withColumn("x", F.pmod(F.xxhash64("a"), "nx")).withColumn("y", F.when(F.col("g") != F.col("top"), F.pmod(F.xxhash64("a"), "ny")))
+    at = "array_distinct(concat(transform(sequence(0L, ny - 1), v -> struct(x AS x, v AS y)), if(y IS NULL, array(), transform(sequence(0L, nx - 1), v -> struct(v AS x, y AS y)))))"
+    rows = rows.withColumn("at", F.explode(F.expr(at))).select("key", F.col("at.x").alias("bx"), F.col("at.y").alias("by"), "a", "g", (F.col("at.x") == F.col("x")).alias("inner"), F.coalesce(F.col("at.y") == F.col("y"), F.lit(False)).alias("outer"))
+    rows = scratch.keep(rows, "rows").join(sets.withColumnRenamed("doc_id", "a"), "a").join(sketch.withColumnRenamed("doc_id", "a"), "a")
+    rows = rows.select("key", "bx", "by", "a", "g", "inner", "outer", "found", "s0", "s1", "s2", "s3").repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by")
+    more = scratch.keep(rows.mapInArrow(lambda it: _across(it, percent, most), "a_g long, b_g long").distinct(), "links-3")
     group = joined(group, more, scratch, "g3")
-    scratch.drop("sets", "sketch", "forest", "mixed", "outer", "two", "three")
+    scratch.drop("sets", "sketch", "forest", "sizes", "rows", "two")
 
     out = signed.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"], "left")
     out = out.join(group.withColumnRenamed("id", "rep"), "rep", "left")

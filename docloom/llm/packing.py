@@ -11,35 +11,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST, END_ID, CACHED = 2048, 1, 250_000
+LONGEST, END_ID, CACHED = 2048, 1, 1_000_000
 
-_LOADED: dict[str, tuple] = {}
+class WordIds(dict):
+    """word -> its ids as little-endian 32-bit numbers; the first CACHED different words are kept, others encoded anew."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        import os
+        self.encode = Tokenizer.from_file(path).encode
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    def __missing__(self, word: bytes) -> bytes:
+        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) < CACHED:
+            self[word] = ids
+        return ids
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
 
+_LOADED: dict[str, WordIds] = {}
 
-def token_ids(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, by a tokenizer whose tokens never cross white space: words are encoded once."""
-    tokenizer, known = _tokenizer(path)
-    split = [x.encode("utf-8", "replace").split() for x in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHED:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for word, found in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+def token_ids(text: str, path: str) -> bytes:
+    """Little-endian 32-bit ids of a text, by a tokenizer whose tokens never cross white space: a word is encoded once."""
+    if path not in _LOADED:
+        _LOADED[path] = WordIds(path)
+    return b"".join(map(_LOADED[path].__getitem__, text.encode("utf-8", "replace").split()))
 
 
 def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -58,8 +54,8 @@ def _packed(batches, path: str, with_ids: bool):
         texts = [x or "" for x in batch.column(1).to_pylist()]
         for at in range(0, len(texts), 256):
             row, start, length, crc, total, tokens = [], [], [], [], [], []
-            for i, ids in enumerate(token_ids(texts[at : at + 256], path)):
-                ids += END_ID.to_bytes(4, "little")
+            for i, text in enumerate(texts[at : at + 256]):
+                ids = token_ids(text, path) + END_ID.to_bytes(4, "little")
                 for lo, n in pieces(len(ids) // 4):
                     part = ids[4 * lo : 4 * (lo + n)]
                     row.append(at + i)
