@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST, END_ID, CACHED = 2048, 1, 1_000_000
+LONGEST, END_ID, CACHED = 2048, 1, 1_500_000
 
 class WordIds(dict):
     """word -> its ids as little-endian 32-bit numbers; the first CACHED different words are kept, others encoded anew."""
