@@ -1,6 +1,7 @@
 """Line de-duplication by a fixed-depth log-template tree, in DataFrame functions only.
 
-A line's tokens lead it to a leaf: the number of tokens, then its first DEPTH tokens, tokens with a digit being "<*>".
+A line's tokens (between single spaces) lead it to a leaf: the number of tokens, then its first DEPTH tokens, tokens
+with a digit being "<*>".
 Each leaf that many lines reach gets one template: at each place the commonest token if SHARE of the leaf's lines have
 it, else "<*>". A line that fits its leaf's template, if at least half of its places are fixed, belongs to the template;
 any other line is a template of its own. Templates of MIN_TEXTS or more different texts are dropped, but for the first
@@ -16,18 +17,21 @@ from docloom.llm.common import Scratch
 DEPTH, SHARE, MIN_TEXTS, MIN_TOKENS, FIELD = 4, 0.6, 10, 3, "<*>"
 
 
-def _tokens(line):
-    return F.transform(F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda x: x != ""), lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
+def _masked(tokens):
+    return F.transform(tokens, lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x))
 
 
 def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """(th, drops): for texts (th is md5 of the text) that lose lines, the sorted places of these lines."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     lines = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("tokens", _tokens("line")).filter(F.size("tokens") >= min_tokens)
-    lines = lines.select("th", "pos", "tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"))
-    busy = scratch.keep(lines.groupBy("leaf").count().filter(F.col("count") >= min_texts).select("leaf"), "busy")
-    rows = scratch.keep(lines.join(busy, "leaf"), "rows")
+    # the tree's cheap part for every line: only the leading tokens are looked at, by plain splitting
+    tokens = F.split("line", " ")
+    lines = lines.select("th", "pos", "line", F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH))).alias("leaf"))
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n")).filter((F.col("lines") >= min_texts) & (F.col("n") >= min_tokens))
+    busy = scratch.keep(busy.select("leaf"), "busy")
+    rows = lines.select("th", "pos", "line", "leaf").join(busy, "leaf").select("th", "pos", "leaf", _masked(tokens).alias("tokens"))
+    rows = scratch.keep(rows, "rows")
 
     places = rows.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
     common = places.groupBy("leaf", "i").agg(F.max(F.struct("count", "token")).alias("top"), F.sum("count").alias("n"))
