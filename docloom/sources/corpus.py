@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(path, modified, size, content) of all .md files below a folder; bytes that aren't UTF-8 drop the file, newlines are made \\n."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
-    root = F.lit(folder.rstrip("/") + "/")
-    path = F.url_decode(F.substring_index("path", F.concat(root), -1))
+    path = F.substring_index("path", re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/", -1)
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     return files.filter(valid).select(path.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("content"))
