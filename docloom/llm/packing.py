@@ -4,71 +4,133 @@ needs padding."""
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LONGEST, END_ID, CACHED = 2048, 1, 1_500_000
+from docloom.llm.bpe import byte_letters
 
-class WordIds(dict):
-    """word -> its ids as little-endian 32-bit numbers; the first CACHED different words are kept, others encoded anew."""
+LONGEST, END_ID = 2048, 1
+CACHED = 1_000_000  # entries that each cache of a task holds: what bounds its memory, whatever the corpus
+SLICE_BYTES = 8 << 20  # text that is worked on at a time; a longer document is a slice of its own
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+# fixed value: the pretoken pattern of this tokenizer family, as it stands for lower-case ASCII and Latin letters
+_PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+"""
+# words that normalising leaves alone but for lower case: printable ASCII, and the letters of two Latin blocks
+_PLAIN = r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+"
 
-        self.encode = Tokenizer.from_file(path).encode
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) < CACHED:
-            self[word] = ids
-        return ids
+class Kept(dict):
+    """A cache that keeps the first CACHED entries and makes others anew."""
 
+    def __init__(self, make):
+        self.make = make
 
-_LOADED: dict[str, WordIds] = {}
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(self) < CACHED:
+            self[key] = value
+        return value
 
 
-def token_ids(text: str, path: str) -> bytes:
-    """Little-endian 32-bit ids of a text, by a tokenizer whose tokens never cross white space: a word is encoded once."""
-    if path not in _LOADED:
-        _LOADED[path] = WordIds(path)
-    return b"".join(map(_LOADED[path].__getitem__, text.encode("utf-8", "replace").split()))
+class WordIds:
+    """Ids of words by a tokenizer whose tokens never cross white space, as little-endian 32-bit numbers.
 
+    A plain word is cut into pretokens here and each goes to the tokenizer's model alone; words with other characters,
+    or with what may be a special token, go through the whole tokenizer. Both caches start empty with each task, so that
+    no task's cost leans on what its worker did before."""
 
-def pieces(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
-    """(start, length): whole pieces of the longest length, then the binary parts of the rest, longest first."""
-    out = [(i * longest, longest) for i in range(n // longest)]
-    at = n // longest * longest
+    def __init__(self, path: str):
+        tokenizer = _tokenizer(path)
+        self.encode, self.model = tokenizer.encode, tokenizer.model
+        self.plain, self.cut = re.compile(_PLAIN).fullmatch, re.compile(_PIECES).findall
+        self.specials = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
+        self.pieces, self.words = Kept(self.of_piece), Kept(self.of_word)
+
+    def of_piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def of_word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.plain(text):
+            low = text.lower()
+            if "<" not in low or not any(s in low for s in self.specials):
+                return b"".join(map(self.pieces.__getitem__, self.cut(low)))
+        return array("I", self.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts one after another, each closed by END_ID, and where each text's end.
+
+        Different words of the slice are looked up once; the ids are then gathered by place."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        known = [self.words[w] for w in words.dictionary.cast(pa.binary()).to_pylist()]
+        known.append(END_ID.to_bytes(4, "little"))
+        pool = np.frombuffer(b"".join(known), "<u4")
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = np.cumsum(size) - size
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(known) - 1)
+        n = size[index]
+        until = np.cumsum(n)
+        ids = pool[np.repeat(at[index] - (until - n), n) + np.arange(until[-1])]
+        return ids, until[ends + np.arange(len(ends))]
+
+
+@cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def pieces(sizes: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of documents of so many ids: whole pieces of the longest length, then the binary parts of the rest, longest first."""
+    whole = sizes // longest
+    of = np.repeat(np.arange(len(sizes)), whole)
+    parts = [(of, (np.arange(len(of)) - np.repeat(np.cumsum(whole) - whole, whole)) * longest, np.full(len(of), longest))]
     for bit in range(longest.bit_length() - 2, -1, -1):
-        if (n - at) >> bit & 1:
-            out.append((at, 1 << bit))
-            at += 1 << bit
-    return out
+        of = np.flatnonzero(sizes >> bit & 1)
+        parts.append((of, sizes[of] >> (bit + 1) << (bit + 1), np.full(len(of), 1 << bit)))
+    of, start, length = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((start, of))
+    return of[order], start[order], length[order]
+
+
+def _slices(texts: pa.Array):
+    """(first, last + 1) of stretches of texts that hold SLICE_BYTES together, or one text."""
+    size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+        yield lo, hi
+        lo = hi
 
 
 def _packed(batches, path: str, with_ids: bool):
+    words = WordIds(path)
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        for at in range(0, len(texts), 256):
-            row, start, length, crc, total, tokens = [], [], [], [], [], []
-            for i, text in enumerate(texts[at : at + 256]):
-                ids = token_ids(text, path) + END_ID.to_bytes(4, "little")
-                for lo, n in pieces(len(ids) // 4):
-                    part = ids[4 * lo : 4 * (lo + n)]
-                    row.append(at + i)
-                    start.append(lo)
-                    length.append(n)
-                    crc.append(zlib.crc32(part))
-                    total.append(len(ids) // 4)
-                    if with_ids:
-                        tokens.append(np.frombuffer(part, "<u4").astype(np.int32))
-            out = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+        texts = pc.fill_null(batch.column(1), "")
+        for lo, hi in _slices(texts):
+            ids, ends = words.of_texts(texts.slice(lo, hi - lo))
+            first = np.concatenate([[0], ends[:-1]])
+            of, start, length = pieces(ends - first)
+            at, view = first[of] + start, memoryview(ids).cast("B")
+            crc = [zlib.crc32(view[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            out = [batch.column(0).take(pa.array(lo + of)), *(pa.array(x, pa.int64()) for x in (start, length, crc, (ends - first)[of]))]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                out.append(pa.array(tokens, pa.list_(pa.int32())))
+            if with_ids:  # pieces stand in the order of the ids, without gaps
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.astype(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
