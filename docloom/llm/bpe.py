@@ -6,6 +6,8 @@ first; the count is the number of symbols less the number of merges."""
 from __future__ import annotations
 
 import json
+from copy import copy
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -102,13 +104,16 @@ class Merger:
         return total
 
 
-_LOADED: dict[str, Merger] = {}
+@cache
+def _loaded(path: str) -> Merger:
+    return Merger(path)
 
 
 def merger(path: str) -> Merger:
-    if path not in _LOADED:
-        _LOADED[path] = Merger(path)
-    return _LOADED[path]
+    """A merger with an empty cache; the merges themselves are read once in a process."""
+    out = copy(_loaded(path))
+    out.known = {}
+    return out
 
 
 def _counted(batches, path: str):
