@@ -62,7 +62,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word (bytes) -> 64-bit hash; emptied when it has grown past ``bound`` words."""
+    """word (bytes) -> 64-bit hash; emptied at each task's start and when it has grown past ``bound`` words."""
 
     bound = 400_000
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import WORDS as WORD_HASHES
 from docloom.llm.common import Scratch, mix64, shingles, word_hashes
 from docloom.llm.components import components
 
@@ -37,6 +38,7 @@ def signature(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches, k: int):
+    WORD_HASHES.clear()
     factors = _factors()
     weights = mix64(np.arange(101, 101 + TREES * DEPTH, dtype=np.uint64)).reshape(TREES, DEPTH) | np.uint64(1)
     tree = np.arange(TREES, dtype=np.uint64)
@@ -68,6 +70,7 @@ def _signed(batches, k: int):
 
 
 def _sets(batches, k: int):
+    WORD_HASHES.clear()
     for batch in batches:
         found = [np.unique(shingles(word_hashes(x or b""), k)).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
