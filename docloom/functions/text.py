@@ -73,6 +73,20 @@ def cells(row: Column) -> Column:
     return F.transform(F.split(bare, r"\|", -1), plain)
 
 
+def padded(row: Column, width: Column) -> Column:
+    """A table row with empty cells up to a width."""
+    return F.concat(row, F.array_repeat(F.lit(""), F.greatest(width - F.size(row), F.lit(0))))
+
+
+def resolved(path: Column, url: Column) -> Column:
+    """A link's target from its document's folder, cut at #, freed of . and ..; null where it leaves the collection."""
+    parts = F.split(F.concat(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), F.substring_index(url, "#", 1)), "/")
+    up = lambda a: F.when(F.size(a) == 0, F.array(F.lit("\0"))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+    walk = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == ".") | (p == ""), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p))))
+    target = F.array_join(walk, "/")
+    return F.when(~target.contains("\0"), target)
+
+
 def indel_ratio(text: Column, query: str) -> Column:
     """100 * 2 LCS / (lengths), with the LCS length by a bit-parallel fold over the text's characters; query of up to 62 characters."""
     m = len(query)

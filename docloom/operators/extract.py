@@ -47,11 +47,7 @@ def links(docs: DataFrame) -> DataFrame:
 
 def resolved(found: DataFrame, docs: DataFrame) -> DataFrame:
     """links with target and valid: internal targets are cut at #, joined to the file's folder, freed of . and .., and looked up."""
-    cut = F.substring_index("url", "#", 1)
-    parts = F.split(F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), cut), "/")
-    walk = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == ".") | (p == ""), a).when(p == "..", F.when(F.size(a) == 0, F.array(F.lit("\0"))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))).otherwise(F.concat(a, F.array(p))))
-    target = F.array_join(walk, "/")
-    x = found.withColumn("target", F.when((F.col("type") == "internal") & ~target.contains("\0"), target))
+    x = found.withColumn("target", F.when(F.col("type") == "internal", T.resolved(F.col("path"), F.col("url"))))
     known = docs.select(F.col("path").alias("target"), F.lit(True).alias("there"))
     return x.join(known, "target", "left").select("path", "url", "text", "type", "target", ((F.col("type") != "internal") | F.coalesce("there", F.lit(False))).alias("valid"))
 
@@ -112,3 +108,27 @@ def folder_counts(docs: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     return docs.select(F.explode(above).alias("folder")).groupBy("folder").agg(F.count("*").alias("n_docs"))
+
+
+def link_lines(docs: DataFrame) -> DataFrame:
+    """(path, url, text, line): Markdown links with the line, from 1, on which each begins; a link may span lines.
+
+    The text is split at the links' own beginnings, so that the count of newlines before the i-th link is a running sum."""
+    c = F.col("content")
+    group = lambda i: F.regexp_extract_all(c, F.lit(T.MD_LINK), F.lit(i))
+    between = F.split(c, T.MD_LINK, -1)
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    both = F.arrays_zip(group(0).alias("whole"), group(2).alias("url"), group(1).alias("text"), F.slice(between, 1, F.size(between) - 1).alias("before"))
+    x = docs.select("path", F.posexplode(both).alias("pos", "l")).select("path", "pos", "l.url", "l.text", newlines(F.col("l.before")).alias("gap"), newlines(F.col("l.whole")).alias("own"))
+    before = Window.partitionBy("path").orderBy("pos")
+    line = 1 + F.sum("gap").over(before) + F.coalesce(F.sum("own").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.select("path", "url", "text", line.cast("int").alias("line"))
+
+
+def health(docs: DataFrame, tables: DataFrame, images: DataFrame, links: DataFrame) -> DataFrame:
+    """One row of totals: files, files with tables and images, tables, images, links and broken links. Four aggregates of one row each are put together."""
+    n = docs.agg(F.count("*").alias("files"))
+    t = tables.groupBy("path").count().agg(F.count("*").alias("files_with_tables"), F.coalesce(F.sum("count"), F.lit(0)).alias("tables"))
+    i = images.groupBy("path").count().agg(F.count("*").alias("files_with_images"), F.coalesce(F.sum("count"), F.lit(0)).alias("images"))
+    k = links.agg(F.count("*").alias("links"), F.count_if(~F.col("valid")).alias("broken_links"))
+    return n.crossJoin(t).crossJoin(i).crossJoin(k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.fuzzy import partial, weighted
 
 
 def _query(q: str) -> str:
@@ -43,8 +44,10 @@ def content(docs: DataFrame, q: str, folder: str | None = None) -> DataFrame:
     return x.select("path", "title", F.least(F.lit(85.0), F.lit(60.0) + 5 * T.occurrences(F.col("content"), q)).alias("score"), F.lit("content").alias("match_type"), T.excerpt(F.col("content"), q).alias("excerpt"))
 
 
-def fuzzy(docs: DataFrame, q: str, k: int = 5, least: float = 60.0, folder: str | None = None) -> DataFrame:
-    x = in_folder(docs, folder).withColumn("ratio", F.round(T.indel_ratio(F.lower("title"), _query(q)), 6)).orderBy(F.desc("ratio"), "path").limit(k).filter(F.col("ratio") > least)
+def fuzzy(docs: DataFrame, q: str, k: int = 5, least: float = 60.0, folder: str | None = None, scorer: str = "indel") -> DataFrame:
+    """The k titles nearest to a query: by the Indel ratio of lower-cased titles, in built-in functions, or by the weighted ratio ("weighted", case kept)."""
+    ratio = weighted(F.col("title"), q) if scorer == "weighted" else T.indel_ratio(F.lower("title"), _query(q))
+    x = in_folder(docs, folder).withColumn("ratio", F.round(ratio, 6)).orderBy(F.desc("ratio"), "path").limit(k).filter(F.col("ratio") > least)
     return x.select("path", "title", F.round(F.col("ratio") * 0.8, 6).alias("score"), F.lit("fuzzy").alias("match_type"))
 
 
@@ -55,6 +58,20 @@ def semantic(vectors: DataFrame, q: list[float], k: int = 5, least: float = 0.6)
     return x.orderBy(F.desc("similarity"), "vec_id").limit(k).filter(F.col("similarity") >= least).withColumn("score", F.round(F.col("similarity") * 100, 4))
 
 
+def semantic_per_group(vectors: DataFrame, q: list[float], group: str, k: int) -> DataFrame:
+    """(group, rank, vec_id, similarity): the k most similar vectors of each group."""
+    sim = T.cosine(F.col("embedding").cast("array<double>"), F.array(*[F.lit(float(v)) for v in q]))
+    x = vectors.select(group, "vec_id", F.round(sim, 6).alias("similarity")).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
+    order = Window.partitionBy(group).orderBy(F.desc("similarity"), "vec_id")  # Spark cuts each map task's groups to k rows before it shuffles
+    return x.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(group, "rank", "vec_id", "similarity")
+
+
+def or_else(found: DataFrame, other: DataFrame) -> DataFrame:
+    """found, or other where found has no row: decided in the plan, without a job of its own."""
+    none = found.agg((F.count("*") == 0).alias("none"))
+    return found.unionByName(other.crossJoin(F.broadcast(none)).filter("none").drop("none"))  # one row
+
+
 def first_seen(*found: DataFrame) -> DataFrame:
     """One row for each path, of the first search that has it."""
     every = [f.select("path", "title", "score", "match_type").withColumn("strategy", F.lit(i)) for i, f in enumerate(found)]
@@ -73,7 +90,7 @@ def hybrid(docs: DataFrame, q: str, limit: int = 10, folder: str | None = None)
         two = grep(docs, q, folder)
         found.append(two)
         if n + two.limit(cap).count() < cap:
-            found.append(fuzzy(docs, q, folder=folder))
+            found.append(fuzzy(docs, q, folder=folder, scorer="weighted"))
     return first_seen(*found).orderBy(F.desc("score"), "strategy", "path").limit(limit).select("path", "title", "score", "match_type")
 
 
@@ -94,10 +111,15 @@ def within_budget(sections: DataFrame, most: int, used: int = 0) -> DataFrame:
 
 
 def table_hits(tables: DataFrame, q: str, least: float = 0.3, limit: int = 10) -> DataFrame:
-    """Tables by 0.3 caption, 0.4 header and 0.3 row similarity to a query."""
+    """(all columns of tables, score, matching_rows): tables by 0.3 caption, 0.4 header and 0.3 row partial ratio to a query.
+
+    matching_rows are the rows with a partial ratio of 60 or more, else the first five."""
     q = _query(q)
-    part = lambda c: T.indel_ratio(F.lower(c), q) / 100
-    rows = F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), " ")
-    score = F.coalesce(0.3 * part(F.col("caption")), F.lit(0.0)) + 0.4 * part(F.array_join("headers", " ")) + 0.3 * part(rows)
-    x = tables.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).filter(F.col("score") >= least)
-    return x.orderBy(F.desc("score"), "path", "table_index").limit(limit).select("path", "table_index", "score")
+    text = lambda r: F.lower(F.array_join(r, " "))
+    part = lambda c: partial(c, q) / 100
+    rows = F.lower(F.array_join(F.transform("rows", lambda r: F.array_join(r, " ")), " "))
+    score = F.coalesce(0.3 * part(F.lower(F.nullif("caption", F.lit("")))), F.lit(0.0)) + 0.4 * part(text("headers")) + 0.3 * part(rows)
+    top = tables.withColumn("score", F.round(F.least(F.lit(1.0), score), 6)).filter(F.col("score") >= least).orderBy(F.desc("score"), "path", "table_index").limit(limit)
+    hits = top.select("path", "table_index", F.posexplode("rows").alias("pos", "row")).withColumn("r", partial(text("row"), q)).filter("r >= 60")
+    hits = hits.groupBy("path", "table_index").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "row"))), lambda x: x["row"]).alias("hits"))
+    return top.join(hits, ["path", "table_index"], "left").withColumn("matching_rows", F.coalesce("hits", F.slice("rows", 1, 5))).drop("hits")

@@ -61,4 +61,19 @@ ORACLE_SQL = {
     "conversation_search": f"select conv_id, turn, {COUNT} as n from conversations where contains(lower(text), 'the')",
     "get_file": f"with {MD} select path, printf('%.1f KB', strlen(content) / 1024.0::double) as size, split_part(path, '/', 1) as team from md where path like '%/doc-000003.md'",
     "summary_inputs": f"with {MD} select path, md5(case when length(content) > 4000 then concat(content[:4000], chr(10), '...(truncated)') else content end) as text from md",
+    "table_captions": f"with {MD} select path, 0::int as table_index, 'Part specification' as caption from md",
+    "list_tables": f"with {MD} select path, 0::int as table_index, 'Field,Value' as headers, 3::int as row_count, 2::int as col_count from md",
+    "link_lines": f"with {MD}, p AS (select path, content, unnest(regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^\\)]+)\\)')) as whole from md) select path, split_part(whole[:-2], '](', 2) as url, (length(content[:position(whole in content)]) - length(replace(content[:position(whole in content)], chr(10), '')) + 1)::int as line from p",
+    "related_docs": f"with {LK} select distinct path, target from vl where type = 'internal' and valid and target like '%.md'",
+    "semantic_fallback": f"with {MD} select path, 'exact' as match_type, score from (select *, {EX} as score from md) where score is not null order by score desc, path limit 5",
+    "knn_per_label": f"with {Q.split(chr(44) + chr(10) + ' sm AS')[0]}, sm AS (select label, vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as similarity from embeddings, q) select label, r::int as rank, vec_id, similarity from (select *, row_number() over (partition by label order by similarity desc, vec_id) as r from sm) where r <= 3",
+    "deep_search_merge": f"with {MD}, {Q.replace('limit 5)', 'limit 10)')}, al AS (select path, title, {EX} as score, 'exact' as match_type, 0 as st from md where {EX} is not null union all select path, title, round(similarity * 100, 4), 'semantic', 1 from tp join md on doc_id = vec_id where similarity >= 0.6) select path, title, score, match_type from (select *, row_number() over (partition by path order by st) as n from al) where n = 1 order by score desc, path limit 10",
+    "tree_listing": f"""with {MD}, nd AS (select '' as parent, split_part(path, '/', 1) as name, false as is_file, 1 as depth, strlen(content) as b from md
+ union all select split_part(path, '/', 1), split_part(path, '/', 2), false, 2, strlen(content) from md union all select concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)), split_part(path, '/', 3), true, 3, strlen(content) from md),
+ gp AS (select parent, name, is_file, depth, count(*) as n_docs, sum(b)::bigint as size from nd group by all)
+ select parent, name, is_file, depth::int as depth, n_docs, size, row_number() over (partition by parent order by is_file desc, lower(name) desc, name desc) = 1 as is_last from gp""",
+    "index_health": f"with {LK} select (select count(*) from md) as files, (select count(*) from md) as files_with_tables, (select count(*) from md) as tables, (select count(*) from md) as files_with_images, (select count(*) from md) as images, count(*) as links, count(*) filter (not valid) as broken_links from vl",
+    "benchmark_overlap": f"select item_id, {COUNT} as n from benchmark where contains(lower(text), 'the')",
+    "ragged_pad": f"with {MD} select path, r::int as row, concat(n, '|', v, '|') as padded from (select path, 0 r, 'brand' n, p_brand v from md union all select path, 1, 'type', p_type from md union all select path, 2, 'size', cast(p_size as varchar) from md)",
+    "json_export": f"with {MD} select path, concat('{{\"path\":\"', path, '\",\"score\":', score, ',\"match_type\":\"exact\"}}') as json from (select *, {EX} as score from md) where score is not null",
 }

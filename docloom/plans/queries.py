@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import extract, search
+from docloom.operators import extract, search, tree
 from docloom.sources.corpus import md_docs, table
 
 
@@ -37,7 +37,36 @@ def _resolved(s, d):
 
 
 def table_hits_query(s, d):
-    return search.table_hits(_tables(s, d), "brand size")
+    return search.table_hits(_tables(s, d), "brand size").select("path", "table_index", "score")
+
+
+def matching_rows(s, d):
+    hits = search.table_hits(_tables(s, d), "brand size").select("path", "table_index", F.posexplode("matching_rows").alias("pos", "row"))
+    return hits.select("path", "table_index", "pos", F.array_join("row", "|").alias("row"))
+
+
+def _health(s, d):
+    docs = md_docs(s, d)
+    return extract.health(docs, _tables(s, d), extract.images(docs), _resolved(s, d))
+
+
+def _related(s, d):
+    return _resolved(s, d).filter("type = 'internal' AND valid AND target LIKE '%.md'").select("path", "target").distinct()
+
+
+def semantic_fallback(s, d):
+    miss = table(s, d, "embeddings").filter("vec_id BETWEEN 10 AND 17").select(F.posexplode("embedding").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("v"))
+    v = [r.v for r in miss.orderBy("i").collect()]
+    found = search.semantic(table(s, d, "embeddings"), v).select(F.col("vec_id").cast("string").alias("path"), F.lit("semantic").alias("match_type"), "score")
+    return search.or_else(found, search.exact(_titled(s, d), "red").select("path", "match_type", "score").orderBy(F.desc("score"), "path").limit(5))
+
+
+def deep_search_merge(s, d):
+    v = _blend(s, d)
+    near = search.semantic(table(s, d, "embeddings"), v, 10).select(F.col("vec_id").alias("doc_id"), "score")
+    docs = _titled(s, d)
+    near = docs.join(F.broadcast(near), "doc_id").select("path", "title", "score", F.lit("semantic").alias("match_type"))  # ten rows at most
+    return search.first_seen(search.exact(docs, "red"), near).orderBy(F.desc("score"), "path").limit(10).select("path", "title", "score", "match_type")
 
 
 def rerank_blend(s, d):
@@ -91,4 +120,19 @@ QUERIES = {
     "conversation_search": lambda s, d: table(s, d, "conversations").filter(F.contains(F.lower("text"), F.lit("the"))).select("conv_id", "turn", T.occurrences(F.col("text"), "the").alias("n")),
     "get_file": lambda s, d: md_docs(s, d).filter("path LIKE '%/doc-000003.md'").select("path", F.format_string("%.1f KB", F.octet_length("content") / 1024.0).alias("size"), T.team(F.col("path")).alias("team")),
     "summary_inputs": lambda s, d: _cut(md_docs(s, d), text=F.md5(F.when(F.length("content") > 4000, F.concat(F.substring("content", 1, 4000), F.lit("\n...(truncated)"))).otherwise(F.col("content")))),
+    "table_captions": lambda s, d: _tables(s, d).filter("caption IS NOT NULL").select("path", "table_index", "caption"),
+    "list_tables": lambda s, d: _tables(s, d).select("path", "table_index", F.array_join("headers", ",").alias("headers"), "row_count", "col_count"),
+    "matching_rows": matching_rows,
+    "link_lines": lambda s, d: extract.link_lines(md_docs(s, d)).select("path", "url", "line"),
+    "related_docs": _related,
+    "chunk_stats": lambda s, d: extract.chunks(md_docs(s, d)).groupBy("path").agg(F.count("*").alias("chunks"), F.max("token_count").alias("longest")),
+    "fuzzy_titles_weighted": lambda s, d: search.fuzzy(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.col("p_name").alias("title")), "red widgit", scorer="weighted").select("path", "score"),
+    "semantic_fallback": semantic_fallback,
+    "knn_per_label": lambda s, d: search.semantic_per_group(table(s, d, "embeddings"), _blend(s, d), "label", 3),
+    "deep_search_merge": deep_search_merge,
+    "tree_listing": lambda s, d: tree.tree(md_docs(s, d).withColumn("size", F.octet_length("content"))).select("parent", "name", "is_file", "depth", "n_docs", "size", "is_last"),
+    "index_health": _health,
+    "benchmark_overlap": lambda s, d: table(s, d, "benchmark").filter(F.contains(F.lower("text"), F.lit("the"))).select("item_id", T.occurrences(F.col("text"), "the").alias("n")),
+    "ragged_pad": lambda s, d: _tables(s, d).select("path", F.posexplode("rows").alias("row", "cells"), "col_count").select("path", "row", F.array_join(T.padded(F.col("cells"), F.col("col_count") + 1), "|").alias("padded")),
+    "json_export": lambda s, d: search.exact(_titled(s, d), "red").select("path", F.to_json(F.struct("path", "score", "match_type")).alias("json")),
 }
