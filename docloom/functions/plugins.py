@@ -46,3 +46,34 @@ def overlap(query: str, c: Column) -> Column:
 
 
 RERANKERS["overlap"] = overlap
+
+READERS, SUMMARIZERS = {"none": None}, {}
+
+
+def read_text(c: Column | str, backend: str = "none") -> Column:
+    """Text in an image's bytes, by the reader of that name, a function of a Series; no reader, no text."""
+    f = READERS[backend]
+    return F.pandas_udf(f, "string")(c) if f else F.lit(None).cast("string")
+
+
+def passthrough(query: str, c: Column) -> None:
+    """A re-ranker that leaves scores and order alone."""
+
+
+RERANKERS["none"] = passthrough
+
+
+def first_paragraphs(topic: str, texts: list[tuple[str, str]]) -> str:
+    """The default summary: each document's title and first paragraph that isn't a heading."""
+    out = [f"# {topic}"]
+    for title, text in texts:
+        paragraphs = (p.strip() for p in text.split("\n\n"))
+        out.append(f"## {title}\n{next((p for p in paragraphs if p and not p.startswith('#')), '')}")
+    return "\n\n".join(out)
+
+
+SUMMARIZERS["first_paragraphs"] = first_paragraphs
+
+
+def query_vector(query: str, backend: str = "hashed") -> list[float]:
+    return list(map(float, EMBEDDERS[backend](pd.Series([query])).iloc[0]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ HTML_IMAGE = r"<img[^>]*src=[\"']([^\"']*)[\"'][^>]*>"
 FENCE = r"(?s)```(\w+)?\n(.*?)\n```"
 
 
+def below(path: str, folder: str) -> Column:
+    """A file's path relative to a folder that was read."""
+    return F.substring_index(path, re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/", -1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modified, size, content) of all .md files below a folder; bytes that aren't UTF-8 drop the file, newlines are made \\n."""
+    """(path, modified, size, content) of all .md files below a folder; bytes that aren't UTF-8 drop the file, newlines are made \\n.
+
+    Spark's file scan passes over files of no bytes, so an empty file has no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
-    path = F.substring_index("path", re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/", -1)
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.filter(valid).select(path.alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("content"))
+    return files.filter(valid).select(T.below("path", folder).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("content"))
 
 
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.functions.plugins import embed
 from docloom.operators import extract
 
-TABLES = ("docs", "doc_tables", "doc_links", "doc_images", "doc_chunks", "code_blocks")
+TABLES = ("docs", "doc_tables", "doc_links", "doc_images", "doc_chunks", "code_blocks", "doc_embeddings")
 
 
 def build(docs: DataFrame, folder: str) -> DataFrame:
@@ -21,6 +22,7 @@ def build(docs: DataFrame, folder: str) -> DataFrame:
         "doc_images": extract.images(docs),
         "doc_chunks": extract.chunks(docs),
         "code_blocks": extract.code_blocks(docs),
+        "doc_embeddings": docs.filter(content != "").select("path", embed(content).alias("embedding")),
     }
     for name, df in made.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
