@@ -2,13 +2,13 @@
 
 Filter directions are structured: a product code joins one codeword for each half of the (randomly rotated) space, and
 several such codes are used. A vector is list-decoded to every direction whose inner product with it exceeds a
-threshold: codewords of the first half are tried only if the best of the second half can still reach it, and the second
+threshold, taken from the exact tail of a spherical cap: codewords of the first half are tried only if the best of the second half can still reach it, and the second
 half's are walked in falling order. Vectors that share a direction are compared in double precision."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, sqrt
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Scratch
 from docloom.llm.components import components
 
-CODES, LISTED, PER_VECTOR, BLOCK, SEED = 8, 32, 4, 1024, 6
+CODES, LISTED, PER_VECTOR, BLOCK, SEED, ROUNDS = 8, 64, 4, 1024, 6, 4
 
 
 def usable(vector: str | Column) -> Column:
@@ -28,6 +28,18 @@ def usable(vector: str | Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def cap(d: int, share: float) -> float:
+    """The inner product with a fixed direction that a share of all unit vectors of d components exceeds."""
+    x = np.linspace(1, 0, 200_001)
+    area = np.concatenate([[0.0], np.cumsum(np.convolve((1 - x * x) ** ((d - 3) / 2), [0.5, 0.5], "valid"))])
+    return float(np.interp(share, area / (2 * area[-1]), x))
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x / most, axis=1, keepdims=True) / most
+
+
 class Filters:
     """CODES product codes of k * k directions each, for vectors of d components; about LISTED exceed the threshold for a vector."""
 
@@ -43,7 +55,7 @@ class Filters:
                 halves.append(words / np.maximum(1e-12, np.linalg.norm(words, axis=1, keepdims=True)) * sqrt(n / d) if n else words)
             self.codes.append((turn, *halves))
         share = min(0.5, listed / (codes * k * k))
-        self.least = NormalDist().inv_cdf(1 - share) / sqrt(d) if d > 8 else -2.0
+        self.least = cap(d, share) if d > 8 else -2.0
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, direction) of all directions that exceed the threshold, for unit vectors x."""
@@ -74,58 +86,95 @@ def _listed(batches, k: int, seed: int):
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
             x = np.array(vectors.take(pa.array(own)).to_pylist(), np.float64)
-            unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
+            unit = units(x)
+            with np.errstate(over="ignore"):
+                short = (x.astype(np.float32) == x).all()  # vectors travel in single precision if that loses nothing
             made[d] = made.get(d) or Filters(int(d), k, seed=seed)
             for at in range(0, len(own), 512):
                 row, found = made[d].decode(unit[at : at + 512])
                 order = np.lexsort((found, row))
                 row, found = row[order], found[order]
                 ends = np.searchsorted(row, np.arange(min(512, len(own) - at) + 1))
-                lists = [found[ends[i] : ends[i + 1]] * 65536 + int(d) for i in range(len(ends) - 1)]
+                lists = [found[ends[i] : ends[i + 1]] for i in range(len(ends) - 1)]
                 part = own[at : at + 512]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(weights[part]), pa.array([v.tobytes() for v in unit[at : at + 512]], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "weight", "unit", "filters"])
-
-
-def _compared(least: float):
-    def compare(key, pdf):
-        import pandas as pd
-
-        filter_, one, two = (int(x) for x in key)
-        x = np.stack([np.frombuffer(b, np.float64) for b in pdf["unit"]])
-        n = len(x)
-        linked = x @ x.T >= least
-        linked[np.arange(n), np.arange(n)] = False
-        if one != two:  # only pairs across the two blocks; pairs within one have a group of their own
-            side = pdf["block"].to_numpy()
-            linked &= side[:, None] != side[None, :]
-        if linked.any():  # a pair counts in the first filter that both are listed under
-            rows = np.repeat(np.arange(n), [len(f) for f in pdf["filters"]])
-            under = np.concatenate([np.asarray(f) for f in pdf["filters"]])
-            order = np.argsort(under[under < filter_], kind="stable")
-            rows, under = rows[under < filter_][order], under[under < filter_][order]
-            edges = np.flatnonzero(np.r_[True, under[1:] != under[:-1], True]) if len(under) else []
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
-                    linked[np.ix_(rows[lo:hi], rows[lo:hi])] = False
-        own = np.flatnonzero(linked.any(axis=1))
-        if not len(own):
-            return pd.DataFrame({"id": [], "links": [], "next": []}).astype("int64")
-        linked = linked[np.ix_(own, own)]
-        ids, weight = pdf["id"].to_numpy()[own], pdf["weight"].to_numpy()[own]
-        label = np.arange(len(own))
-        while True:
-            new = np.minimum(label, np.where(linked, label[None, :], len(own)).min(axis=1))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        order = np.argsort(label, kind="stable")
-        follows = np.full(len(own), -1)
-        same = label[order][1:] == label[order][:-1]
-        follows[order[1:][same]] = order[:-1][same]
-        return pd.DataFrame({"id": ids, "links": linked @ weight, "next": np.where(follows >= 0, ids[follows], ids)})
-
-    return compare
+                raw = x[at : at + 512].astype("<f4" if short else "<f8")
+                columns = [pa.array(ids[part]), pa.array(weights[part]), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array([f * 65536 + int(d) for f in lists], pa.list_(pa.int64())), pa.array([f.astype(_index(k)).tobytes() for f in lists], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "weight", "raw", "filters", "under"])
+
+
+def _index(k: int) -> str:
+    return "<u4" if CODES * k * k < 1 << 32 else "<i8"
+
+
+def _linked(key, ids, weight, across, raw, lists, least: float, index: str):
+    """(id, links, next) of one group's rows: links first met under this filter, and a chain through each component."""
+    d = key[0] % 65536
+    x = units(np.stack([np.frombuffer(b, "<f4" if len(b) == 4 * d else "<f8").astype(np.float64) for b in raw]))
+    n = len(x)
+    linked = x @ x.T >= least
+    linked[np.arange(n), np.arange(n)] = False
+    if key[1] != key[2]:  # only pairs across the two blocks; pairs within one have a group of their own
+        linked &= across[:, None] != across[None, :]
+    own = np.flatnonzero(linked.any(axis=1))
+    if not len(own):
+        return None
+    linked = linked[np.ix_(own, own)]
+    # a pair counts in the first filter that both are listed under
+    listed = [np.frombuffer(lists[i], index) for i in own]
+    rows, under = np.repeat(np.arange(len(own)), [len(f) for f in listed]), np.concatenate(listed).astype(np.int64)
+    before = under < key[0] // 65536
+    order = np.argsort(under[before], kind="stable")
+    rows, under = rows[before][order], under[before][order]
+    edges = np.flatnonzero(np.r_[True, under[1:] != under[:-1], True]) if len(under) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo > 1:
+            linked[np.ix_(rows[lo:hi], rows[lo:hi])] = False
+    left = np.flatnonzero(linked.any(axis=1))
+    if not len(left):
+        return None
+    own, linked = own[left], linked[np.ix_(left, left)]
+    label = np.arange(len(own))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(own)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    order = np.argsort(label, kind="stable")
+    follows = np.full(len(own), -1)
+    same = label[order][1:] == label[order][:-1]
+    follows[order[1:][same]] = order[:-1][same]
+    return ids[own], linked @ weight[own], np.where(follows >= 0, ids[own][follows], ids[own])
+
+
+def _compared(batches, least: float, index: str):
+    """Rows sorted by filter and pair of blocks -> the links of each group; see _linked."""
+
+    def sent(held):
+        found = _linked(of, *(np.concatenate([h[i] for h in held]) for i in range(3)), *([x for h in held for x in h[i]] for i in (3, 4)), least, index)
+        if found:
+            out.append(found)
+
+    held, of, out = [], None, []
+    for batch in batches:
+        where = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5, 3)] + [batch.column(i).to_pylist() for i in (6, 7)]
+        edges = np.flatnonzero((where[:, 1:] != where[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            now = tuple(int(x) for x in where[:, lo]) if hi > lo else of
+            if held and now != of:
+                sent(held)
+                held = []
+            of = now
+            if hi > lo:
+                held.append([c[lo:hi] for c in columns])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "links", "next"])
+            out.clear()
+    if held:
+        sent(held)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["id", "links", "next"])
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, listed: int = LISTED, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -145,18 +194,24 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     classes = scratch.keep(classes, "classes")
     n = classes.count()
     k = max(8, ceil(sqrt(PER_VECTOR * n / CODES)))
-    lists = scratch.keep(classes.select("rep", "weight", "v").mapInArrow(lambda it: _listed(it, k, seed), "id long, weight long, unit binary, filters array<long>"), "lists")
+    index = _index(k)
+    lists = scratch.keep(classes.select("rep", "weight", "v").mapInArrow(lambda it: _listed(it, k, seed), "id long, weight long, raw binary, filters array<long>, under binary"), "lists")
     sizes = scratch.keep(lists.select(F.explode("filters").alias("filter")).groupBy("filter").count().filter("count > 1").withColumn("blocks", F.expr(f"(count + {block - 1}) div {block}")), "sizes")
-    at = lists.select("*", F.explode("filters").alias("filter")).join(sizes.select("filter", "blocks"), "filter")
-    at = at.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    at = at.select("filter", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "weight", "unit", "filters")
-    links = scratch.keep(at.groupBy("filter", "one", "two").applyInPandas(_compared(cosine), "id long, links long, next long"), "links")
+    links = []
+    for turn in range(ROUNDS):  # a part of the filters at a time, so that the disk holds a part of their shuffle
+        at = lists.withColumn("filter", F.explode(F.filter("filters", lambda f: F.pmod(F.shiftright(f, 16), F.lit(ROUNDS)) == turn)))
+        at = at.join(sizes.select("filter", "blocks"), "filter")
+        at = at.withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        at = at.select("filter", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "weight", "raw", "under")
+        at = at.repartition("filter", "one", "two").sortWithinPartitions("filter", "one", "two")
+        links.append(scratch.keep(at.mapInArrow(lambda it: _compared(it, cosine, index), "id long, links long, next long"), f"links-{turn}"))
+    links = scratch.keep(reduce(DataFrame.union, links), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     same_id = keyed.filter("able").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a <> b").select("a", "b")
     group = components(links.filter("next <> id").select(F.col("id").alias("a"), F.col("next").alias("b")).union(same_id), scratch)
     known = classes.select("k1", "k2", "rep", "weight").join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(group.withColumnRenamed("id", "rep"), "rep", "left")
     known = scratch.keep(known, "known")
-    scratch.drop("classes", "lists", "sizes", "links")
+    scratch.drop("classes", "lists", "sizes", "links", *(f"links-{turn}" for turn in range(ROUNDS)))
     out = keyed.drop("v").join(known, ["k1", "k2"], "left")
     n_links = F.when(F.col("able"), F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long")
     component = F.when(F.col("able"), F.coalesce("component", "rep")).otherwise(F.col("vec_id"))

@@ -249,6 +249,23 @@ def test_caps_equal_brute_force(spark):
         assert all(got[i].n_links == 0 and got[i].kept for i in range(5000, 5005)) and got[5006].component_id == 5005 and got[5006].n_links == 1
 
 
+def test_caps_lists_keep_their_length_as_the_table_grows():
+    rng = np.random.default_rng(7)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 400, 64)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for n in (10**4, 10**5, 10**6):
+        f = caps.Filters(64, int(np.ceil(np.sqrt(caps.PER_VECTOR * n / caps.CODES))))
+        lists = []
+        for v in (x, y):
+            own = [set() for _ in v]
+            for i, c in zip(*f.decode(v), strict=True):
+                own[i].add(c)
+            lists.append(own)
+        assert abs(np.mean([len(s) for s in lists[0]]) / caps.LISTED - 1) < 0.1
+        assert sum(not a & b for a, b in zip(*lists, strict=True)) <= 1
+
+
 def test_nearest_recall_and_exactness(spark):
     x = clustered(5)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 64), (5040, [float("nan")] * 64), (5060, [None] + [1.0] * 63)]
