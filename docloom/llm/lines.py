@@ -4,7 +4,8 @@ A line's tokens (between single spaces) lead it to a leaf: the number of tokens,
 with a digit being "<*>".
 Each leaf that many lines reach gets one template: at each place the commonest token if SHARE of the leaf's lines have
 it, else "<*>". A line that fits its leaf's template, if at least half of its places are fixed, belongs to the template;
-any other line is a template of its own. Templates of MIN_TEXTS or more different texts are dropped, but for the first
+any other line is a template of its own, as it
+stands. Templates of MIN_TEXTS or more different texts are dropped, but for the first
 occurrence of each."""
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_
     lines = lines.select("th", "pos", "line", F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH))).alias("leaf"))
     busy = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n")).filter((F.col("lines") >= min_texts) & (F.col("n") >= min_tokens))
     busy = scratch.keep(busy.select("leaf"), "busy")
-    rows = lines.select("th", "pos", "line", "leaf").join(busy, "leaf").select("th", "pos", "leaf", _masked(tokens).alias("tokens"))
+    rows = lines.select("th", "pos", "line", "leaf").join(busy, "leaf").select("th", "pos", "leaf", F.xxhash64(F.lit("line"), "line").alias("own"), _masked(tokens).alias("tokens"))
     rows = scratch.keep(rows, "rows")
 
     places = rows.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
@@ -41,8 +42,7 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_
     template = scratch.keep(template, "template")
 
     fits = F.forall(F.arrays_zip("tokens", "template"), lambda x: (x["template"] == FIELD) | (x["template"] == x["tokens"]))
-    own = F.xxhash64(F.lit("line"), F.col("tokens"))
-    of = rows.join(template, "leaf", "left").select("th", "pos", F.when(F.col("template").isNotNull() & fits, F.col("leaf")).otherwise(own).alias("tid"))
+    of = rows.join(template, "leaf", "left").select("th", "pos", F.when(F.col("template").isNotNull() & fits, F.col("leaf")).otherwise(F.col("own")).alias("tid"))
     of = scratch.keep(of.distinct(), "of")
     texts = of.groupBy("tid", "th").agg(F.min("pos").alias("pos")).groupBy("tid").agg(F.count("*").alias("texts"), F.min(F.struct("th", "pos")).alias("first"))
     recurring = scratch.keep(texts.filter(F.col("texts") >= min_texts).select("tid", "first"), "recurring")

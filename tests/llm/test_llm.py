@@ -339,6 +339,13 @@ def test_lines(spark):
     assert all("short one" in got[i].text for i in range(14))
 
 
+def test_numeric_rows_that_differ_stay(spark):
+    rows = [(i, f"own{i}x\n{i}.5 {i + 30} {7 * i}\n2019 4 88\nweight {i},1 {i},2 {i},3", "en", "a", 0) for i in range(40)]
+    got = {r.doc_id: r.text.split("\n") for r in lines.without_recurring_lines(docs_of(spark, rows)).collect()}
+    assert all(f"{i}.5 {i + 30} {7 * i}" in got[i] and f"weight {i},1 {i},2 {i},3" in got[i] for i in range(40))
+    assert sum("2019 4 88" in t for t in got.values()) == 1
+
+
 def test_extra_columns_that_clash(spark):
     docs = docs_of(spark, odd_rows()).selectExpr("*", "1 AS n", "2 AS key", "3 AS size", "4 AS words", "5 AS tokens", "6 AS s", "7 AS upper", "8 AS line")
     labels = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
