@@ -320,6 +320,21 @@ def test_passages(spark):
     assert not lost, lost
 
 
+def test_passages_beyond_a_common_line(spark):
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"v{rng.integers(10**9)}" for _ in range(n)]
+    rows = []
+    for p in range(60):
+        line, tail = fresh(49), fresh(6)
+        texts = [fresh(40) + line + fresh(40) for _ in range(3)] + [fresh(30 + 9 * i) + line + tail + fresh(40) for i in range(2)]
+        rows += [(10 * p + i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    got = defaultdict(set)
+    for r in windows.repeated_passages(docs_of(spark, rows)).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    want = brute_passages(rows)
+    assert len(want) == 120 and not {d for d, w in want.items() if not w <= got[d]} and got.keys() == want.keys()
+
+
 def test_compact_windows_cover_each_subsequence():
     order = np.random.default_rng(2).integers(0, 50, 60)
     l, c, r = windows.compact_windows(order, 8)
