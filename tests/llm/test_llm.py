@@ -335,6 +335,27 @@ def test_passages_beyond_a_common_line(spark):
     assert len(want) == 120 and not {d for d, w in want.items() if not w <= got[d]} and got.keys() == want.keys()
 
 
+def test_passages_with_an_insertion(spark):
+    rng = np.random.default_rng(13)
+    fresh = lambda n: [f"w{rng.integers(10**9)}" for _ in range(n)]
+    x = rng.integers(0, 1 << 32, 60).astype("<u4")
+    for cut in ([x[:30], [7], x[30:]], [x[:30], x[32:]], [x[:25], [1, 2, 3], x[25:]]):
+        y = np.concatenate(cut).astype("<u4")
+        assert windows.banded(x, y) == [(0, 60, 0, len(y))]
+        assert windows.shifted([(x, x), (x, y), (y, x)]).tolist() == [False, True, True]
+    assert windows.banded(x, rng.integers(0, 1 << 32, 60).astype("<u4")) == []
+    rows, lengths = [], (60, 80, 96)
+    for p in range(60):
+        near = fresh(lengths[p % 3])
+        m = len(near) // 2
+        other = near[:m] + fresh(1) + near[m:] if p % 2 else near[:m] + near[m + 1 :]
+        rows += [(2 * p, " ".join(fresh(70) + near + fresh(90)), "en", "a", 0), (2 * p + 1, " ".join(fresh(90) + other + fresh(20)), "en", "a", 0)]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in windows.repeated_passages(docs_of(spark, rows)).collect()}
+    right = [p for p in range(60) if got.get(2 * p) == (70, 70 + lengths[p % 3]) and got.get(2 * p + 1) == (90, 91 + lengths[p % 3] if p % 2 else 89 + lengths[p % 3])]
+    print(len(right))
+    assert len(right) >= 54 and all(d // 2 in right for d in got)
+
+
 def test_compact_windows_cover_each_subsequence():
     order = np.random.default_rng(2).integers(0, 50, 60)
     l, c, r = windows.compact_windows(order, 8)
