@@ -6,7 +6,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,25 +95,42 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
         some = rng.random(len(y)) < 0.7
         for path, value in grow(x[some], (y - p)[some], (p * (1 - p))[some], depth, (), rules, cuts, rng):
             score[covers(x, path)] += 0.2 * np.clip(value, -4, 4)
-    rules = sorted(rules)
-    a = np.stack([covers(x, r) for r in rules], axis=1).astype(np.float32)
-    _, first = np.unique(a, axis=1, return_index=True)
-    first.sort()
-    a, rules = a[:, first], [rules[i] for i in first]
-    mean = a.mean(axis=0)
-    a -= mean
-    rate = 4.0 / max(1e-6, float(np.linalg.norm(a, 2)) ** 2 / len(y))
-    w, z, b, t = np.zeros(len(rules)), np.zeros(len(rules)), prior, 1.0
+    # rules that hold for the same rows are one; the columns of one single-precision matrix, filled in place
+    seen: dict[bytes, tuple] = {}
+    for rule in sorted(rules):
+        seen.setdefault(np.packbits(covers(x, rule)).tobytes(), rule)
+    rules = list(seen.values())
+    a = np.empty((len(rules), len(y)), np.float32)
+    for i, bits in enumerate(seen):
+        a[i] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(y))
+    del seen
+    mean = a.mean(axis=1)
+    a -= mean[:, None]
+    rate, y = np.float32(4.0 / max(1e-6, largest(a) / len(y))), y.astype(np.float32)
+    w = z = np.zeros(len(rules), np.float32)
+    b, t = prior, 1.0
     for _ in range(steps):  # accelerated proximal gradient
-        p = 1 / (1 + np.exp(-(a @ z + b)))
-        new = z - rate * (a.T @ (p - y)) / len(y)
-        new = np.sign(new) * np.maximum(0, np.abs(new) - rate * penalty)
-        b -= 2.0 * float((p - y).mean())
+        off = 1 / (1 + np.exp(-(z @ a + np.float32(b)))) - y
+        new = z - rate * ((a @ off) / np.float32(len(y)))
+        new = np.sign(new) * np.maximum(0, np.abs(new) - rate * np.float32(penalty))
+        b -= 2.0 * float(off.mean())
         after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z = new + (t - 1) / after * (new - w)
+        z = new + np.float32((t - 1) / after) * (new - w)
         w, t = new, after
     kept = [(rules[i], float(w[i])) for i in np.flatnonzero(w)]
-    return float(b - sum(w * mean)), kept
+    return float(b - float(w.astype(np.float64) @ mean)), kept
+
+
+def largest(a: np.ndarray, rounds: int = 30) -> float:
+    """The square of a matrix's spectral norm, a little more rather than less, by power iteration."""
+    v, size = np.random.default_rng(0).standard_normal(len(a)).astype(np.float32), 0.0
+    for _ in range(rounds):
+        v = a @ (v @ a)
+        size = float(np.linalg.norm(v))
+        if not size:
+            return 0.0
+        v /= np.float32(size)
+    return 1.05 * size
 
 
 def compiled(intercept: float, rules: list[tuple[tuple, float]], names: list[str] = STATS) -> Column:
@@ -132,8 +148,8 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_ro
     """Fits on labelled rows that aren't held out, the first sample_rows of them in hash order; labels(doc_id, label)."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("double").alias("__y")).distinct()
     known = known.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(1)) != 1)
-    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__y", *STATS[:3]).select(*STATS, "__y").limit(sample_rows).collect()
-    data = np.array([list(r) for r in rows], np.float64).reshape(-1, len(STATS) + 1)
+    rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__y", *STATS[:3]).select(*STATS, "__y").limit(sample_rows).toArrow()
+    data = np.stack([c.to_numpy() for c in rows.columns], axis=1).astype(np.float64) if len(rows) else np.zeros((0, len(STATS) + 1))
     return fit(data[:, :-1], data[:, -1])
 
 
@@ -141,8 +157,10 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     held_out marks rows whose crc32 of the id as text has remainder 1 by 3; their labels are never learnt from. Null and
-    empty texts have statistics of 0 and are scored by the same rules; a null id is scored and not held out; repeated rows
-    and labels count as they stand, null labels not at all; without labels every score is 0.5."""
+    empty texts have statistics of 0 and are scored by the same rules; very long texts are measured whole; a null id is
+    scored and not held out; repeated rows and labels count as they stand, null labels not at all; equal texts have equal
+    scores; without labels every score is 0.5. Other columns, whatever their names, play no part; an empty table gives an
+    empty result."""
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(measured(docs, id_col, text_col), "stats")
     intercept, rules = train(stats, labels, sample_rows=sample_rows)
@@ -152,21 +170,20 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows of docs whose score is at least ``least``, in docs' columns: one pass over the texts to fit, one to filter."""
+    """Rows of docs whose score is at least ``least``, in docs' columns: one pass over the texts to fit, one to filter.
+
+    Null and empty texts have statistics of 0 and stay or go by the same rules, as do very long ones, which are measured
+    whole; rows that tie or repeat, and rows without an id, are each judged by their own text. Columns of any name pass
+    through, as the row travels packed in one column. An empty table stays empty; without labels every row stays."""
     scratch = Scratch(docs.sparkSession, "quality")
     known = labels.select(F.col("doc_id").alias(id_col)).distinct()
     training = scratch.keep(measured(docs.select(id_col, text_col).join(known, id_col, "left_semi"), id_col, text_col), "training")
     intercept, rules = train(training, labels)
-    wide = {f"__{c}": c for c in docs.columns}
-    rows = docs.withColumnsRenamed({v: k for k, v in wide.items()})
-    stats = _stats_column()(F.col(f"__{text_col}"))
-    rows = rows.withColumn("__stats", stats).select("*", *(F.col("__stats")[i].alias(c) for i, c in enumerate(STATS)))
-    return rows.filter(compiled(intercept, rules) >= least).select(*(F.col(k).alias(v) for k, v in wide.items()))
-
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.arrow_udf(_vectors, "array<double>")(F.col("row")[text_col].cast("string")).alias("stats"))
+    rows = rows.select("row", *(F.col("stats")[i].alias(c) for i, c in enumerate(STATS)))
+    return rows.filter(compiled(intercept, rules) >= least).select("row.*")
 
-def _stats_column():
-    @F.pandas_udf("array<double>")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([statistics((x or "").encode("utf-8", "replace")) for x in texts])
 
-    return found
+def _vectors(texts: pa.Array) -> pa.Array:
+    return pa.array([statistics(x or b"") for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
