@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -17,32 +18,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, a temporary one does on a local master (tests); on a cluster it would be each machine's own: an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (dots written as __) that hold for a while and are then as they were before."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor rereads them instead of recomputing.
 
-    Shuffle files of a finished write are released at once, so that the disk holds one job's shuffle at a time."""
+    While a table is written, shuffle files of a finished job are released at once, so that the disk holds one job's
+    shuffle at a time, and Arrow batches are a few thousand rows at most, so that several long texts in one keep a Python
+    worker's memory small; the session's settings are then as before."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/docloom-{tag}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        # several long texts share an Arrow batch; a few hundred rows keep a Python worker's memory small
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxRecordsPerBatch=str(batch)):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

@@ -276,7 +276,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts are scored as texts without a toxic word; null ids are scored and not held out; repeated rows keep a row each;
     null labels are skipped; without labels every score is 0.5. Other columns play no part."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    Scratch(docs.sparkSession, "toxicity")
     model = train(rows, labels, sample_rows)
     out = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))

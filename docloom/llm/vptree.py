@@ -177,10 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
         groups = ask.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(packed, "queries binary")
         pairs = groups.select("queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).join(scratch.keep(trees, f"trees-{fact.d}"), "shard")
         part = pairs.select("tree", "queries").mapInArrow(_answerer(k, speed), "query_id long, vec_id long, score double")
-        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row here is a whole shard with a block of queries
-        part = scratch.keep(part, f"found-{fact.d}")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        part = scratch.keep(part, f"found-{fact.d}", batch=4)  # a row here is a whole shard with a block of queries
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
