@@ -2,15 +2,14 @@
 
 A line's tokens (between single spaces) lead it to a leaf: the number of tokens, then its first DEPTH tokens, tokens
 with a digit being "<*>".
-Each leaf that many lines reach gets one template: at each place the commonest token if SHARE of the leaf's lines have
-it, else "<*>". A line that fits its leaf's template, if at least half of its places are fixed, belongs to the template;
-any other line is a template of its own, as it
-stands. Templates of MIN_TEXTS or more different texts are dropped, but for the first
-occurrence of each."""
+Each leaf that many lines of MIN_TOKENS or more tokens reach gets one template: at each place the commonest token if
+SHARE of the leaf's lines have it, else "<*>". A line that fits its leaf's template, if at least half of its places are
+fixed, belongs to the template; any other line, and every shorter one, is a template of its own, as it stands. Templates
+of MIN_TEXTS or more different texts are dropped, but for the first occurrence of each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch
@@ -25,16 +24,18 @@ def _masked(tokens):
 def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS, scratch: Scratch | None = None) -> DataFrame:
     """(th, drops): for texts (th is md5 of the text) that lose lines, the sorted places of these lines."""
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lines = docs.filter(F.col(text_col).isNotNull()).select(F.md5(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    lines = texts.select(F.md5("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     # the tree's cheap part for every line: only the leading tokens are looked at, by plain splitting
     tokens = F.split("line", " ")
     lines = lines.select("th", "pos", "line", F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH))).alias("leaf"))
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n")).filter((F.col("lines") >= min_texts) & (F.col("n") >= min_tokens))
+    lines = lines.filter((F.col("n") >= min_tokens) | F.col("line").rlike(r"[\p{L}\p{N}]"))
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("lines")).filter(F.col("lines") >= min_texts)
     busy = scratch.keep(busy.select("leaf"), "busy")
     rows = lines.select("th", "pos", "line", "leaf").join(busy, "leaf").select("th", "pos", "leaf", F.xxhash64(F.lit("line"), "line").alias("own"), _masked(tokens).alias("tokens"))
     rows = scratch.keep(rows, "rows")
 
-    places = rows.select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
+    places = rows.filter(F.size("tokens") >= min_tokens).select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
     common = places.groupBy("leaf", "i").agg(F.max(F.struct("count", "token")).alias("top"), F.sum("count").alias("n"))
     common = common.select("leaf", "i", F.when(F.col("top.count") >= SHARE * F.col("n"), F.col("top.token")).otherwise(FIELD).alias("token"))
     template = common.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("template"))
@@ -52,24 +53,41 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_
     return out
 
 
+def _without(text: Column, drops: Column) -> Column:
+    """A text less the lines at the sorted places of drops: the stretches between them, put together."""
+    lines = F.split(text, "\n")
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get(drops, k - 1) + 1)
+    end = lambda k: F.coalesce(F.get(drops, k), F.size(lines))
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k)))), "\n")
+
+
+def _joined(docs: DataFrame, text_col: str, min_texts: int, min_tokens: int) -> DataFrame:
+    """(row, text, left, n_lines, n_dropped): each row of docs packed, its text before and after, and counts of lines."""
+    drops = dropped_lines(docs, text_col, min_texts, min_tokens)
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).withColumn("key", F.md5("text"))
+    out = packed.join(drops, packed.key == drops.th, "left")
+    left = F.when(F.col("drops").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("drops")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return out.select("row", left.alias("left"), n_lines.alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
 def without_recurring_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """docs with recurring lines taken out of the text, plus __lines and __dropped (counts); a row for each row of docs.
 
-    Lines end at newline characters. Lines of fewer than min_tokens tokens stay. Exact copies of a text count as one text,
-    so copies alone make no line recur, and all rows with one text lose the same lines. Null texts stay null, empty texts
-    empty (their counts are 0 and 1); an empty table gives an empty one; other columns pass through, whatever their names."""
-    drops = dropped_lines(docs, text_col, min_texts, min_tokens).select(F.col("th").alias("__th"), F.col("drops").alias("__drops"))
-    out = docs.withColumn("__key", F.md5(text_col)).join(drops, F.col("__key") == F.col("__th"), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__drops", i)), "\n")
-    text = F.when(F.col("__drops").isNull(), F.col(text_col)).otherwise(left)
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"), F.coalesce(F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")), F.lit(0)).cast("long").alias("__dropped")]
-    counts[0] = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("__lines")
-    return out.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), *counts)
+    Lines end at newline characters. Lines of fewer than min_tokens tokens are compared as they stand, and those of them
+    without a letter or number (blank lines, marks, brackets) stay. Exact copies of a text count as one text, so copies
+    alone make no line recur, and all rows with one text lose the same lines. Of occurrences that tie for the first, that
+    of the smallest md5 of the text, then of the smallest place, stays. Null texts stay null, empty texts empty (their counts
+    are 0 and 1); very long texts are read whole, in time that grows with their lines; an empty table gives an empty one.
+    Other columns pass through, whatever their names but the two that are added, as the row travels packed in one column."""
+    out = _joined(docs, text_col, min_texts, min_tokens)
+    return out.select(*(F.col("left").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns), F.col("n_lines").alias("__lines"), F.col("n_dropped").alias("__dropped"))
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """docs in its own columns, recurring lines taken out of the text; n_chars, if there is such a column, is the new length."""
-    out = without_recurring_lines(docs, text_col, min_texts, min_tokens)
-    fresh = lambda c: F.when(F.col("__dropped") > 0, F.length(text_col)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-    return out.select(*(fresh(c) for c in docs.columns))
+    """docs in its own columns, whatever their names, recurring lines taken out of the text; n_chars, if there is such a
+    column, is the new length where lines went. Nulls, empty texts and the rest are as in without_recurring_lines."""
+    out = _joined(docs, text_col, min_texts, min_tokens)
+    length = F.when(F.col("n_dropped") > 0, F.length("left"))
+    new = {text_col: F.col("left")} | ({"n_chars": F.coalesce(length.cast(docs.schema["n_chars"].dataType), F.col("row")["n_chars"])} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import Scratch, mix64, n_words
 
-BLOCK, SHARD_SLOTS, SEED, MOST, BUCKET_DOCS = 256, 1024, 20, 3, 2048
+BLOCK, SHARD_SLOTS, RUN_SHARDS, SEED, MOST, BUCKET_DOCS = 256, 1024, 1024, 20, 3, 2048
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: list[float] | None = None, most: float = MOST) -> list[float]:
@@ -68,8 +68,10 @@ def plan(source_words: list[int], goals: list[float], block: int = BLOCK, seed:
     return out
 
 
-def shard_counts(owed: list[int], slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """[shard, source]: slots drawn from a multinomial over what sources still owe, never more than that; all is dealt in the end."""
+def shard_counts(owed: list[int], slots: int = SHARD_SLOTS, seed: int | tuple[int, ...] = SEED) -> np.ndarray:
+    """[shard, source]: slots drawn from a multinomial over what sources still owe, never more than that; all is dealt in the end.
+
+    The same draw deals runs of RUN_SHARDS shards (on the driver) and a run's shards (where its slots are filled)."""
     owed_now, out, rng = np.array(owed, np.int64), [], np.random.default_rng(seed)
     while (left := int(owed_now.sum())) > 0:
         now = np.zeros(len(owed_now), np.int64)
@@ -102,15 +104,18 @@ def stream(docs: DataFrame, scratch: Scratch, id_col: str, source_col: str, text
     return placed, [(r.source, int(r.n)) for r in found]
 
 
-def slots(spark: SparkSession, passes: list[dict], counts: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(shard, s, turn, slot, block, words): every slot of the mix, with the block that it holds and how many of its first words."""
-    schema = "shard int, s int, turn int, slot long, block long, words int"
+def slots(spark: SparkSession, passes: list[dict], runs: np.ndarray, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+    """(shard, s, turn, slot, block, words): every slot of the mix, with the block that it holds and how many of its first words.
+
+    runs[run, source]: slots of each run of RUN_SHARDS shards. A run's shards are drawn by the tasks that need them, from
+    the run's own seed, so that the driver never holds a table of all shards."""
+    schema = "shard long, s int, turn int, slot long, block long, words int"
     total = sum(p["slots"] for p in passes)
     if not total:
         return spark.createDataFrame([], schema)
     ends = np.cumsum([p["slots"] for p in passes])
     base = ends - [p["slots"] for p in passes]
-    by_source = np.cumsum(counts, axis=0)  # slots of a source up to and with a shard
+    by_source = np.cumsum(runs, axis=0)  # slots of a source up to and with a run
     first = {}
     for p, b in zip(passes, base, strict=True):
         first.setdefault(p["s"], int(b))
@@ -118,6 +123,15 @@ def slots(spark: SparkSession, passes: list[dict], counts: np.ndarray, block: in
     def fill(batches):
         import pandas as pd
 
+        drawn: dict[int, np.ndarray] = {}
+
+        def ends_of(run: int) -> np.ndarray:
+            if run not in drawn:
+                if len(drawn) > 16:
+                    drawn.clear()
+                drawn[run] = np.cumsum(shard_counts(runs[run].tolist(), shard_slots, (seed, run)), axis=0)
+            return drawn[run]
+
         for pdf in batches:
             i = pdf["id"].to_numpy()
             at = np.searchsorted(ends, i, side="right")
@@ -128,9 +142,14 @@ def slots(spark: SparkSession, passes: list[dict], counts: np.ndarray, block: in
             length = np.where(index == n - 1, block - get("short"), block)
             shard = np.empty(len(i), np.int64)
             for x in np.unique(s):
-                own = s == x
-                shard[own] = np.searchsorted(by_source[:, x], i[own] - first[x], side="right")
-            yield pd.DataFrame({"shard": shard.astype("int32"), "s": s.astype("int32"), "turn": get("turn").astype("int32"), "slot": i, "block": index, "words": np.clip(get("take") - start, 0, length).astype("int32")})
+                own = np.flatnonzero(s == x)
+                place = i[own] - first[x]
+                run = np.searchsorted(by_source[:, x], place, side="right")
+                for r in np.unique(run):
+                    mine = run == r
+                    within = place[mine] - (by_source[r, x] - runs[r, x])
+                    shard[own[mine]] = r * RUN_SHARDS + np.searchsorted(ends_of(int(r))[:, x], within, side="right")
+            yield pd.DataFrame({"shard": shard, "s": s.astype("int32"), "turn": get("turn").astype("int32"), "slot": i, "block": index, "words": np.clip(get("take") - start, 0, length).astype("int32")})
 
     parts = max(1, min(total // 50_000, 10_000))
     return spark.range(0, total, 1, parts).mapInPandas(fill, schema)
@@ -141,16 +160,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     takes: (doc_id, source, s, size, place, start, spans) with spans an array of (turn, lo, hi): words [lo, hi) of the
     row's own words that a pass takes; several runs of one pass are several spans. Rows with null or empty text have
-    size 0 and no spans; null sources are a source of their own, the last; repeated rows are separate rows; an empty table
-    gives empty results. Reruns on the same rows give the same mix."""
+    size 0 and no spans; very long texts are cut into as many blocks as they fill; null sources are a source of their own,
+    the last; rows without an id are rows like others; repeated rows are separate rows, and rows that tie for a place stand
+    by id; an empty table gives empty results. Other columns, whatever their names, play no part. Reruns on the same rows
+    give the same mix."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     placed, sources = stream(docs, scratch, id_col, source_col, text_col, seed)
     goals = targets(sources, weights)
     passes = plan([n for _, n in sources], goals, block, seed)
     owed = [sum(p["slots"] for p in passes if p["s"] == s) for s in range(len(sources))]
-    counts = shard_counts(owed, shard_slots, seed) if passes else np.zeros((0, len(sources)), np.int64)
-    filled = slots(spark, passes, counts, block)
+    runs = shard_counts(owed, shard_slots * RUN_SHARDS, seed) if passes else np.zeros((0, len(sources)), np.int64)
+    filled = slots(spark, passes, runs, block, shard_slots, seed)
     overlaps = placed.filter("size > 0").select("doc_id", "place", "s", "start", "size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
     given = filled.filter("words > 0").select("s", "block", "turn", "words").join(overlaps, ["s", "block"])
     lo = F.greatest(F.col("start"), F.col("block") * block)
@@ -176,7 +197,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows with the columns of docs: a row for each run of words that a pass takes from a document.
 
     A run of the whole document keeps its text as it is; part of one has its words joined by single spaces. n_chars, if
-    there is such a column, is the new text's length."""
+    there is such a column, is the new text's length. Rows without words (null, empty and blank texts) give nothing to
+    the mix; columns of any name pass through, as the row travels packed in one column; the rest is as in mix."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     seed = options.get("seed", SEED)
     _, _, takes, _, _ = mix(docs, **options)
@@ -185,16 +207,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     merged = F.aggregate("spans", F.array().cast(f"array<{run}>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["turn"] == x["turn"]) & (F.try_element_at(acc, F.lit(-1))["hi"] == x["lo"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["turn"].alias("turn"), F.try_element_at(acc, F.lit(-1))["lo"].alias("lo"), x["hi"].alias("hi"))))).otherwise(F.concat(acc, F.array(x))))
     # rows that repeat an id and a text are alike: the n-th of them here is the n-th of them there. One equal key, the
     # rest as plain conditions, so that window and join share one exchange of the texts
-    nth = Window.partitionBy("__place").orderBy("__id")
-    runs = takes.filter("spans IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place"), F.col("size").alias("__size"), merged.alias("__spans"))
-    runs = runs.withColumn("__n", F.row_number().over(nth)).select(F.col("__place").alias("__key"), "__n", "__size", "__spans")
-    rows = docs.withColumn("__id", F.col(id_col)).withColumn("__place", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn("__nth", F.row_number().over(nth))
-    hit = rows.join(runs, F.expr("__place = __key AND NOT (__nth <> __n)"))
-    hit = hit.select(*(rows[c] for c in docs.columns), "__size", F.explode("__spans").alias("__run"))
+    runs = takes.filter("spans IS NOT NULL").select(F.col("doc_id").alias("id"), "place", "size", merged.alias("spans"))
+    nth = F.row_number().over(Window.partitionBy("place").orderBy("id"))
+    runs = runs.withColumn("n", nth).select(F.col("place").alias("key"), "n", "size", "spans")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("place")).withColumn("nth", nth)
+    hit = rows.join(runs, F.expr("place = key AND NOT (nth <> n)"))
+    hit = hit.select("row", F.col("row")[text_col].cast("string").alias("text"), "size", F.explode("spans").alias("run"))
     # words are runs of anything but space and control characters 9 to 13
-    words = F.filter(F.split(F.col(text_col), r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    whole = (F.col("__run.lo") == 0) & (F.col("__run.hi") == F.col("__size"))
-    text = F.when(whole, F.col(text_col)).otherwise(F.array_join(F.slice(words, F.col("__run.lo").cast("int") + 1, (F.col("__run.hi") - F.col("__run.lo")).cast("int")), " "))
-    out = hit.withColumn("__text", text)
-    new = {text_col: F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    whole = (F.col("run.lo") == 0) & (F.col("run.hi") == F.col("size"))
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words, F.col("run.lo").cast("int") + 1, (F.col("run.hi") - F.col("run.lo")).cast("int")), " "))
+    out = hit.select("row", text.alias("text"))
+    new = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

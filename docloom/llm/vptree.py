@@ -132,7 +132,7 @@ def _answers(batches, k: int, factor: float):
             out = ([], [], [])
             for i, row in enumerate(found):
                 row = row[row >= 0]
-                score = (x[row] * q[i]).sum(axis=1)
+                score = np.cumsum(x[row] * q[i], axis=1)[:, -1]  # summed from left to right, so that every run and SQL agree
                 near = sorted((-s, o) for s, r in zip(score.tolist(), row, strict=True) for o in owners[r] if o != ids[i])[:k]
                 out[0].extend([ids[i]] * len(near))
                 out[1].extend(o for _, o in near)
