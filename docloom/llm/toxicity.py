@@ -1,11 +1,14 @@
 """Toxicity by a linear-chain conditional random field.
 
-Labels are by document, so tokens are labelled first: in documents marked toxic, the words and stems that are far
-commoner there than in documents marked clean. The field has two states (clean, toxic), an emission weight for each
-learnt word or stem, for each token next to a learnt one, and for any other token, and transitions; a sequence is a
-sentence. Forward-backward
-marginals give each token its probability; the document score is calibrated on the log-odds of its strongest tokens,
-and offending offsets are those of tokens of 1/2 or more."""
+The labels are of documents, so they label tokens in part: every token of a document marked clean is clean; in one marked
+toxic, the words and stems that are far commoner there than in clean documents are toxic, and its other tokens are left
+open. The field has two states (clean, toxic). A token's potential is a sum of weights: of its own unit (a word or stem
+that leans to toxic documents, or any other), of the units before and after it, and of its shape; transitions and the
+start have weights too. A sequence is a sentence. All weights are fitted by the gradient of the likelihood of what is
+labelled: expected counts, by forward-backward, with the labels given less those without.
+
+Forward-backward runs over all sentences of a text. The tokens' marginals are aggregated to the document's score, whose
+calibration is fitted on documents that the field was not fitted on; offending offsets are those of tokens of 1/2 or more."""
 
 from __future__ import annotations
 
@@ -17,29 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_LOWER, Scratch, mix64, shingles, word_hashes
+from docloom.llm.common import ASCII_LOWER, mix64, shingles, word_hashes
 
 SAMPLE_ROWS = 8_000  # labelled documents that the model is fitted on, at most
-SAMPLE_CHARS = 20_000  # labelled documents of more characters are not fitted on (all are scored whole)
 STEMS = (3, 4, 5, 6)  # bytes of a word's stem
 LONGEST = 64  # a sentence of more tokens is cut into sequences of so many
+SURE, LEANING = 100.0, 8.0  # odds from which a unit labels tokens, and from which it has weights of its own
+SHAPES = 3  # in upper case, without a letter, or any other
+EMITTED, MOVED = 1e-5, 2e-2  # penalties on squared weights; open tokens would else be drawn into one long toxic stretch
+TOKENS = 1 << 20  # tokens that are scored at a time; a longer text is scored alone
 _EDGE = b"\"'`()[]{}<>*_,;:-.!?#$%&@|"
-
-
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a UTF-8 text, A-Z lower-cased, without marks at their ends."""
-    return [w.strip(_EDGE) for w in text.translate(ASCII_LOWER).split()]
-
-
-def sequences(text: bytes) -> list[list[bytes]]:
-    """The words of each sentence; a sentence ends with a word that ends in . ! or ?, or after LONGEST words."""
-    out, now = [], []
-    for w in text.translate(ASCII_LOWER).split():
-        now.append(w.strip(_EDGE))
-        if w[-1:] in (b".", b"!", b"?") or len(now) == LONGEST:
-            out.append(now)
-            now = []
-    return out + [now] if now else out
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 
 
 def units(word: bytes) -> list[bytes]:
@@ -47,7 +38,7 @@ def units(word: bytes) -> list[bytes]:
     return [word[:k] + b"*" for k in STEMS if len(word) >= k] + [word]
 
 
-def lexicon(counts: dict[bytes, list[int]], toxic_docs: int, clean_docs: int, odds: float = 100.0) -> dict[bytes, float]:
+def lexicon(counts: dict[bytes, list[int]], toxic_docs: int, clean_docs: int, odds: float = SURE) -> dict[bytes, float]:
     """unit -> log-odds, from unit -> [toxic documents, clean documents]: units at least ``odds`` times commoner in toxic
     documents whose surplus is beyond chance among so many units; longer ones under a learnt stem are left out."""
     out: dict[bytes, float] = {}
@@ -65,8 +56,16 @@ def lexicon(counts: dict[bytes, list[int]], toxic_docs: int, clean_docs: int, od
     return out
 
 
-class Numbers(dict):
-    """word as it stands in a text -> number of its learnt unit, or -1; emptied when it has grown past ``bound`` words."""
+def shape(plain: bytes) -> int:
+    """The shape of a word without marks at its ends, from 0 to SHAPES - 1."""
+    if not _LETTER(plain):
+        return 2
+    return 1 if len(plain) > 1 and plain.isupper() else 0
+
+
+class Codes(dict):
+    """word as it stands in a text -> 16 * (unit + 1) + 2 * shape + (does it end a sentence?), unit -1 for no learnt one;
+    emptied when it has grown past ``bound`` words."""
 
     bound = 400_000
 
@@ -77,119 +76,155 @@ class Numbers(dict):
         if len(self) >= self.bound:
             self.clear()
         plain = word.strip(_EDGE)
-        found = self[word] = next((self.learnt[u] for u in reversed(units(plain)) if u in self.learnt), -1)
-        return found
+        low = plain.translate(ASCII_LOWER)
+        unit = next((self.learnt[u] for u in reversed(units(low)) if u in self.learnt), -1) if low else -1
+        code = self[word] = 16 * (unit + 1) + 2 * shape(plain) + (word[-1:] in (b".", b"!", b"?"))
+        return code
+
+
+def sequences(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of the sequences of texts whose codes stand one after another, each up to one of ends: sentences, cut every LONGEST tokens."""
+    last = np.union1d(np.flatnonzero(codes & 1) + 1, ends)
+    last = last[last > 0]
+    start = np.concatenate([[0], last[:-1]]).astype(np.int64)
+    parts = -(-(last - start) // LONGEST)
+    at = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = np.repeat(start, parts) + at * LONGEST
+    return first, np.minimum(np.repeat(last, parts) - first, LONGEST)
 
 
 class Field:
-    """Two-state chain: emissions (log-potential of the toxic state over the clean one) by word, and transitions."""
+    """Two-state chain over units 0 (none learnt) to n: weights for the toxic state over the clean one, and transitions.
+
+    w holds, one after another: own[n + 1], before[n + 1], after[n + 1], shape[SHAPES], start, move[2, 2]."""
 
-    def __init__(self, words: dict[bytes, int], emit: np.ndarray, move: np.ndarray, start: float, near: float):
-        self.words, self.emit, self.move, self.start, self.near = words, emit, move, start, near
-        self.numbers = Numbers(words)
+    def __init__(self, learnt: dict[bytes, int], w: np.ndarray | None = None):
+        self.learnt, self.n = learnt, len(learnt) + 1
+        self.w = np.zeros(3 * self.n + SHAPES + 5) if w is None else w
+        self.codes = Codes(learnt)
 
     def __reduce__(self):  # the cache of words stays behind
-        return Field, (self.words, self.emit, self.move, self.start, self.near)
-
-    def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """P(toxic) of every token, by forward-backward in logs; e[sequence, place]: emissions, mask: places that hold a token."""
-        n, length = e.shape
-        m = self.move
-        f = np.zeros((n, length, 2))
-        b = np.zeros((n, length, 2))
-        f[:, 0, 1] = self.start + e[:, 0]
-        for t in range(1, length):
-            for s in (0, 1):
-                f[:, t, s] = np.logaddexp(f[:, t - 1, 0] + m[0, s], f[:, t - 1, 1] + m[1, s]) + s * e[:, t]
-        for t in range(length - 2, -1, -1):
-            more = mask[:, t + 1]
-            for s in (0, 1):
-                now = np.logaddexp(m[s, 0] + b[:, t + 1, 0], m[s, 1] + e[:, t + 1] + b[:, t + 1, 1])
-                b[:, t, s] = np.where(more, now, 0.0)
-        x = f + b
-        return 1 / (1 + np.exp(np.clip(x[:, :, 0] - x[:, :, 1], -500, 500)))
-
-    def emissions(self, index: np.ndarray) -> np.ndarray:
-        """index[sequence, place]: learnt word's number, or -1. Words next to a learnt one get ``near`` on top."""
-        e = np.where(index >= 0, self.emit[index], self.emit[-1])
-        known = index >= 0
-        side = np.zeros(index.shape, bool)
-        side[:, 1:] |= known[:, :-1]
-        side[:, :-1] |= known[:, 1:]
-        return e + self.near * side
-
-    def of_text(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the words, P(toxic)) of the tokens of all sentences that hold a learnt word; the rest share one low value."""
-        words = text.translate(ASCII_LOWER).split()
-        number = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        hits = np.flatnonzero(number >= 0).tolist()
-        if not hits:
-            return np.zeros(0, np.int64), np.zeros(0)
-        ends = [i for i, w in enumerate(words) if w[-1:] in (b".", b"!", b"?")]
-        cut = np.array([-1, *ends, len(words) - 1])
-        own = {}
-        for h in hits:  # the sentence around a hit, cut every LONGEST words from its first
-            lo = int(cut[np.searchsorted(cut, h) - 1]) + 1
-            lo += (h - lo) // LONGEST * LONGEST
-            own[lo] = min(int(cut[np.searchsorted(cut, h)]) + 1, lo + LONGEST)
-        spans = sorted(own.items())
-        width = max(b - a for a, b in spans)
-        index = np.full((len(spans), width), -1)
-        mask = np.zeros((len(spans), width), bool)
-        for r, (a, b) in enumerate(spans):
-            index[r, : b - a] = number[a:b]
-            mask[r, : b - a] = True
-        p = self.marginals(self.emissions(index), mask)
-        place = np.array([a for a, _ in spans])[:, None] + np.arange(width)[None, :]
-        return place[mask], p[mask]
-
-
-def fit_field(texts: list[bytes], toxic: list[int], chosen: dict[bytes, float], steps: int = 60, rate: float = 0.5, penalty: float = 1e-3) -> Field:
-    """Fits the field by gradient ascent of the labelled tokens' conditional likelihood (observed less expected counts)."""
-    words = {w: i for i, w in enumerate(sorted(chosen))}
-    field = Field(words, np.array([*np.full(len(words), 1.0), -4.0]), np.zeros((2, 2)), -1.0, 0.0)
-    rows, truth = [], []
+        return Field, (self.learnt, self.w)
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        n = self.n
+        return (*(self.w[i * n : (i + 1) * n] for i in range(3)), self.w[3 * n : 3 * n + SHAPES], self.w[3 * n + SHAPES], self.w[-4:].reshape(2, 2))
+
+    def features(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of every token its unit, the unit before, the unit after (0 at a sequence's ends) and its shape."""
+        unit = codes >> 4
+        before, after = np.zeros_like(unit), np.zeros_like(unit)
+        before[1:], after[:-1] = unit[:-1], unit[1:]
+        before[start], after[start + length - 1] = 0, 0
+        return unit, before, after, (codes >> 1) & 7
+
+    def potentials(self, found: tuple[np.ndarray, ...]) -> np.ndarray:
+        own, before, after, shapes, _, _ = self.parts()
+        return own[found[0]] + before[found[1]] + after[found[2]] + shapes[found[3]]
+
+    def chain(self, e: np.ndarray, start: np.ndarray, length: np.ndarray, want: bool = False):
+        """P(toxic) of every token by forward-backward; with want also P(state a, then b) summed by sequence, [sequence, a, b], and log Z.
+
+        e: potentials, which may be infinite (a labelled token). All sequences take a step together, the longest first, in
+        ratios of the toxic state to the clean one."""
+        order = np.argsort(-length, kind="stable")
+        s, size = start[order], length[order]
+        m, first = np.exp(self.parts()[5]), np.exp(self.parts()[4])
+        x = np.exp(np.clip(e, -60, 60))
+        active = np.searchsorted(-size, -np.arange(1, size.max(initial=0) + 1), side="right")
+        f, b = np.empty(len(e)), np.ones(len(e))
+        log_z = np.zeros(len(s))
+        f[s] = first * x[s]
+        for t in range(1, len(active)):
+            i = s[: active[t]] + t
+            r = f[i - 1]
+            low = m[0, 0] + r * m[1, 0]
+            f[i] = np.clip(x[i] * (m[0, 1] + r * m[1, 1]) / low, 1e-100, 1e100)
+            if want:
+                log_z[: active[t]] += np.log(low)
+        for t in range(len(active) - 1, 0, -1):
+            i = s[: active[t]] + t
+            r = x[i] * b[i]
+            b[i - 1] = np.clip((m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r), 1e-100, 1e100)
+        p = f * b
+        p /= 1 + p
+        if not want:
+            return p
+        moves = np.zeros((len(s), 2, 2))
+        for t in range(1, len(active)):
+            i = s[: active[t]] + t
+            both = np.stack([np.full(len(i), m[0, 0]), m[0, 1] * x[i] * b[i], f[i - 1] * m[1, 0], f[i - 1] * m[1, 1] * x[i] * b[i]], axis=1)
+            moves[: active[t]] += (both / both.sum(axis=1, keepdims=True)).reshape(-1, 2, 2)
+        log_z += np.log1p(f[s + size - 1])
+        back = np.argsort(order)
+        return p, moves[back], log_z[back]
+
+    def likelihood(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+        """(log-likelihood of the labels, its gradient) of weighted sequences; label: 0 clean, 1 toxic, -1 open, for each token."""
+        found = self.features(codes, start, length)
+        e = self.potentials(found)
+        held = np.where(label < 0, e, np.where(label > 0, 60.0, -60.0))
+        p, moves, z = self.chain(e, start, length, want=True)
+        q, given, zq = self.chain(held, start, length, want=True)
+        zq += np.add.reduceat(np.where(label > 0, e - held, 0.0), start) if len(start) else 0  # what clamping added to a toxic token's potential
+        each = np.repeat(weight, length)
+        off = (q - p) * each
+        grad = np.concatenate([np.bincount(found[k], off, self.n) for k in range(3)] + [np.bincount(found[3], off, SHAPES), [(off[start]).sum()], ((given - moves) * weight[:, None, None]).sum(axis=0).ravel()])
+        total, penalty = weight.sum(), np.full(len(self.w), EMITTED)
+        penalty[-5:] = MOVED
+        return float((weight * (zq - z)).sum() / total - (penalty * self.w**2).sum() / 2), grad / total - penalty * self.w
+
+    def of_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(P(toxic) of the tokens of all texts one after another, where each text's end)."""
+        found = [text.split() for text in texts]
+        ends = np.cumsum([len(w) for w in found], dtype=np.int64)
+        codes = np.fromiter((c for w in found for c in map(self.codes.__getitem__, w)), np.int64, int(ends[-1]) if len(ends) else 0)
+        if not len(codes):
+            return np.zeros(0), ends
+        start, length = sequences(codes, ends)
+        return self.chain(self.potentials(self.features(codes, start, length)), start, length), ends
+
+
+def fit_field(texts: list[bytes], toxic: list[int], sure: dict[bytes, float], leaning: dict[bytes, float], steps: int = 80, rate: float = 0.3) -> Field:
+    """Fits the field on the labels that documents give their tokens, by Adam steps up the exact gradient; equal sequences are one."""
+    field = Field({u: i for i, u in enumerate(sorted({*sure, *leaning}))})
+    own, *_, move = field.parts()
+    own[0], move[:] = -3.0, [[0.5, -0.5], [-0.5, 0.5]]
+    known = np.zeros(field.n, bool)
+    known[[field.learnt[u] + 1 for u in sure]] = True
+    counts: dict[tuple[bytes, int], int] = {}
     for text, y in zip(texts, toxic, strict=True):
-        for i, s in enumerate(sequences(text)):
-            index = [field.numbers[w] for w in s]
-            if max(index) >= 0 or i == 0:
-                rows.append(index)
-                truth.append([int(y and x >= 0) for x in index])
-    if not rows or not words:
+        codes = np.fromiter(map(field.codes.__getitem__, text.split()), np.int64)
+        if len(codes):
+            for a, n in zip(*sequences(codes, np.array([len(codes)])), strict=True):
+                key = codes[a : a + n].tobytes(), y
+                counts[key] = counts.get(key, 0) + 1
+    if not counts or not field.learnt:
         return field
-    width = max(map(len, rows))
-    index, gold, mask = np.full((len(rows), width), -1), np.zeros((len(rows), width)), np.zeros((len(rows), width), bool)
-    for r, (a, b) in enumerate(zip(rows, truth, strict=True)):
-        index[r, : len(a)], gold[r, : len(a)], mask[r, : len(a)] = a, b, True
-    pair = mask[:, :-1] & mask[:, 1:]
-    slot = np.where(index >= 0, index, len(words))
-    known = index >= 0
-    side = np.zeros(index.shape, bool)
-    side[:, 1:] |= known[:, :-1]
-    side[:, :-1] |= known[:, 1:]
-    count = np.maximum(1, np.bincount(slot[mask], minlength=len(words) + 1))
-    for _ in range(steps):
-        e = field.emissions(index)
-        p = field.marginals(e, mask)
-        off = np.where(mask, gold - p, 0.0)
-        field.emit += rate * 4 * (np.bincount(slot[mask], off[mask], len(words) + 1) / count) - rate * penalty * field.emit
-        field.near += rate * off[side & mask].sum() / max(1, (side & mask).sum())
-        field.start += rate * off[:, 0].mean()
-        for a in (0, 1):  # expected transitions under the marginals of neighbours
-            for b in (0, 1):
-                seen = (gold[:, :-1] == a) & (gold[:, 1:] == b) & pair
-                expect = np.where(a, p[:, :-1], 1 - p[:, :-1]) * np.where(b, p[:, 1:], 1 - p[:, 1:])
-                field.move[a, b] += rate * (seen.sum() - expect[pair].sum()) / max(1, pair.sum())
+    parts = [np.frombuffer(c, np.int64) for c, _ in counts]
+    codes, length = np.concatenate(parts), np.array([len(c) for c in parts])
+    start = np.cumsum(length) - length
+    marked = np.repeat(np.array([y for _, y in counts]), length)
+    label = np.where(marked == 0, 0, np.where(known[codes >> 4], 1, -1))
+    weight = np.array(list(counts.values()), float)
+    first, second = np.zeros_like(field.w), np.zeros_like(field.w)
+    for t in range(1, steps + 1):
+        _, g = field.likelihood(codes, start, length, label, weight)
+        first, second = 0.9 * first + 0.1 * g, 0.98 * second + 0.02 * g * g
+        field.w += rate * (1 - t / (steps + 1)) * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.98**t)) + 1e-6)
     return field
 
 
-def evidence(field: Field, text: bytes) -> list[float]:
-    """Document features from token marginals: strongest token's log-odds, log of the expected toxic tokens, and their share of words."""
-    _, p = field.of_text(text)
-    if not len(p):
-        return [-8.0, -8.0, 0.0]
-    top = float(np.clip(p.max(), 1e-4, 1 - 1e-4))
-    return [log(top / (1 - top)), log(max(float(p.sum()), 3e-4)), float(p.sum()) / max(1, len(text.split())) ** 0.5]
+def evidence(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """[text, 3] features of token marginals: the strongest token's log-odds, log of the expected toxic tokens, and their share of words."""
+    out = np.tile([-8.0, -8.0, 0.0], (len(ends), 1))
+    start = np.concatenate([[0], ends[:-1]])
+    some = np.flatnonzero(ends > start)
+    if len(some):
+        top = np.clip(np.maximum.reduceat(p, start[some]), 1e-4, 1 - 1e-4)
+        total = np.add.reduceat(p, start[some])
+        out[some] = np.stack([np.log(top / (1 - top)), np.log(np.maximum(total, 3e-4)), total / np.sqrt(ends[some] - start[some])], axis=1)
+    return out
 
 
 def distinct_texts(texts: list[bytes]) -> list[int]:
@@ -219,62 +254,91 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     return w
 
 
+def unit_counts(texts: list[bytes], toxic: list[int], part: list[int]) -> list[dict[bytes, list[int]]]:
+    """unit -> [toxic documents, clean documents] of each half (part: 0 or 1 by text), for units in three toxic documents or more."""
+    def of(text: bytes) -> set[bytes]:
+        return {u for w in {w.strip(_EDGE) for w in set(text.translate(ASCII_LOWER).split())} for u in units(w)}
+
+    seen: dict[bytes, int] = {}
+    for text, y in zip(texts, toxic, strict=True):
+        if y:
+            for u in of(text):
+                seen[u] = seen.get(u, 0) + 1
+    kept = {u for u, n in seen.items() if n >= 3}
+    out: list[dict[bytes, list[int]]] = [{}, {}]
+    for text, y, h in zip(texts, toxic, part, strict=True):
+        for u in of(text) & kept:
+            out[h].setdefault(u, [0, 0])[0 if y else 1] += 1
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
     """(field, weights) from docs(doc_id, text) and labels(doc_id, toxic); rows whose crc32 of the id has remainder 0 by 5 are never read."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y")).distinct()
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    rows = docs.filter(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).join(F.broadcast(known), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text, r.y))
-    texts = [r.text.encode("utf-8", "replace") for r in rows]
-    rows = [rows[i] for i in distinct_texts(texts)]
-    texts, y = [r.text.encode("utf-8", "replace") for r in rows], np.array([r.y for r in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Field({}, np.array([-4.0]), np.zeros((2, 2)), -1.0, 0.0), np.array([0.0, 0.0, 0.0, 0.0 if not len(y) else 4.0 if y[0] else -4.0])
-    # the lexicon from half of the documents and the calibration from all would trust words too much: learn words on
-    # all, but weigh documents by words learnt on the other half
-    def words_of(part):
-        found: dict[bytes, list[int]] = {}
-        for i in part:
-            for u in {u for w in set(tokens(texts[i])) for u in units(w)}:
-                found.setdefault(u, [0, 0])[0 if y[i] else 1] += 1
-        return lexicon(found, int(sum(y[i] for i in part)), int(sum(1 - y[i] for i in part)))
-
-    halves = [list(range(h, len(y), 2)) for h in (0, 1)]
+    rows = docs.filter(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id").select("doc_id", F.col("text").cast("binary").alias("text"), "y").toArrow()
+    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+    rows = [rows[i] for i in distinct_texts([r[1] for r in rows])]
+    texts, y = [r[1] for r in rows], [r[2] for r in rows]
+    if not y or min(y) == max(y):
+        return Field({}), np.array([0.0, 0.0, 0.0, 0.0 if not y else 4.0 if y[0] else -4.0])
+    # calibration on documents that the field has seen would trust words too much: each half is weighed by a field of the other
+    part = [i % 2 for i in range(len(y))]
+    counts = unit_counts(texts, y, part)
+    whole = {u: [sum(c.get(u, [0, 0])[k] for c in counts) for k in (0, 1)] for u in {*counts[0], *counts[1]}}
+
+    def fitted(found: dict[bytes, list[int]], own: list[int]) -> Field:
+        marks = [y[i] for i in own]
+        sure, leaning = (lexicon(found, sum(marks), len(marks) - sum(marks), odds) for odds in (SURE, LEANING))
+        return fit_field([texts[i] for i in own], marks, sure, leaning)
+
     x = np.zeros((len(y), 3))
-    for own, other in ((halves[0], halves[1]), (halves[1], halves[0])):
-        field = fit_field([texts[i] for i in other], [int(y[i]) for i in other], words_of(other))
-        x[own] = [evidence(field, texts[i]) for i in own]
-    weights = calibrate(x, y)
-    return fit_field(texts, [int(v) for v in y], words_of(range(len(y)))), weights
+    for h in (0, 1):
+        other, own = ([i for i in range(len(y)) if part[i] == k] for k in (1 - h, h))
+        x[own] = evidence(*fitted(counts[1 - h], other).of_texts([texts[i] for i in own]))
+    return fitted(whole, list(range(len(y)))), calibrate(x, np.array(y, float))
+
+
+def _spans(text: bytes, bad: set[int]) -> list[dict[str, int]]:
+    """Character offsets of the words at the places of bad."""
+    out, chars, at = [], 0, 0
+    for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
+        if i in bad:
+            chars += len(text[at : m.start()].decode("utf-8", "replace"))
+            at = m.start()
+            out.append({"start": chars, "end": chars + len(m[0].decode("utf-8", "replace"))})
+    return out
 
 
 def _scored(batches, model):
     field, weights = model
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        ids, score, spans = batch.column(0), [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
-            text = text or b""
-            score.append(float(1 / (1 + np.exp(-np.clip(np.dot(weights, [*evidence(field, text), 1.0]), -30, 30)))))
-            place, p = field.of_text(text)
-            bad = {int(i) for i in place[p >= 0.5]}
-            found = []
-            if bad:  # offsets in characters of the text as it is
-                for i, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
-                    if i in bad:
-                        a = len(text[: m.start()].decode("utf-8", "replace"))
-                        found.append({"start": a, "end": a + len(m[0].decode("utf-8", "replace"))})
-            spans.append(found)
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+        texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+        size = np.cumsum([len(x) // 2 for x in texts])  # no fewer than the words
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOKENS, side="right")))
+            p, ends = field.of_texts(texts[lo:hi])
+            score = 1 / (1 + np.exp(-np.clip(np.concatenate([evidence(p, ends), np.ones((hi - lo, 1))], axis=1) @ weights, -30, 30)))
+            spans: list[list] = [[] for _ in range(hi - lo)]
+            bad = np.flatnonzero(p >= 0.5)
+            of = np.searchsorted(ends, bad, side="right")
+            for i in np.unique(of):
+                first = int(ends[i - 1]) if i else 0
+                spans[i] = _spans(texts[lo + i], {int(k) - first for k in bad[of == i]})
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+            lo = hi
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) for each row of docs; spans are the character offsets of toxic tokens.
 
     Labels of rows whose crc32 of the id as text has remainder 0 by 5 (held_out) are never learnt from. Null and empty
-    texts are scored as texts without a toxic word; null ids are scored and not held out; repeated rows keep a row each;
-    null labels are skipped; without labels every score is 0.5. Other columns play no part."""
+    texts are scored as texts without a toxic word; very long ones are scored, and learnt from, whole; null ids are scored
+    and not held out; repeated rows keep a row each, and equal texts have equal scores; null labels are skipped; without
+    labels every score is 0.5. Other columns, whatever their names, play no part; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = train(rows, labels, sample_rows)
     out = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>")

@@ -207,22 +207,65 @@ def test_toxic_offsets(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    assert model[0].numbers[b"idiot,"] >= 0 > model[0].numbers[b"word."]
+    assert model[0].codes[b"Idiot,"] >> 4 and not model[0].codes[b"word."] >> 4 and model[0].codes[b"word."] & 1
     text = "Thé word. You are an Idiot, she said."
-    odd = docs.select("doc_id", "text").limit(0).union(docs_of(spark, [(5, text, "en", "a", 1)]).select("doc_id", "text"))
-    spans = odd.mapInArrow(lambda it: toxicity._scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>").first().spans
-    assert "idiot" in " ".join(text[s.start : s.end] for s in spans).lower()
+    odd = docs.select("doc_id", "text").limit(0).union(docs_of(spark, [(5, text, "en", "a", 1), (6, None, "en", "a", 1)]).select("doc_id", "text"))
+    found = {r.doc_id: r.spans for r in odd.mapInArrow(lambda it: toxicity._scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>").collect()}
+    assert "idiot" in " ".join(text[s.start : s.end] for s in found[5]).lower() and found[6] == []
+
+
+def test_long_documents_are_learnt_from(spark):
+    """A word that stands only in texts of over 100,000 characters is learnt."""
+    rng = np.random.default_rng(6)
+    plain = lambda n: " ".join(f"w{x}." if x % 9 == 0 else f"w{x}" for x in rng.integers(0, 300, n))
+    rows = [(i, plain(25_000) + " grumblefoo " + plain(30), "en", "a", 0) if i % 8 == 0 else (i, plain(40), "en", "a", 0) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(160)], "doc_id long, toxic int")
+    field, _ = toxicity.train(docs_of(spark, rows).select("doc_id", "text"), labels)
+    assert any(u.startswith(b"gru") for u in field.learnt)
+
+
+def random_field(seed):
+    rng = np.random.default_rng(seed)
+    field = toxicity.Field({b"a": 0, b"b": 1})
+    field.w = rng.standard_normal(len(field.w)) / 2
+    length = np.array([5, 1, 4, 6])
+    codes = (rng.integers(0, 3, 16) * 16 + rng.integers(0, toxicity.SHAPES, 16) * 2).astype(np.int64)
+    return field, codes, np.cumsum(length) - length, length, rng.integers(-1, 2, 16), np.array([1.0, 2.0, 1.0, 3.0])
 
 
 def test_field_marginals_equal_enumeration():
     from itertools import product
 
-    field = toxicity.Field({}, np.zeros(1), np.array([[0.3, -0.7], [0.2, 0.9]]), -0.4, 0.0)
-    e = np.array([[0.5, -1.0, 2.0, 0.1]])
-    p = field.marginals(e, np.ones((1, 4), bool))[0]
-    weight = {s: np.exp(s[0] * -0.4 + sum(e[0][i] * s[i] for i in range(4)) + sum(field.move[s[i], s[i + 1]] for i in range(3))) for s in product((0, 1), repeat=4)}
-    want = [sum(w for s, w in weight.items() if s[i]) / sum(weight.values()) for i in range(4)]
-    assert np.allclose(p, want)
+    field, codes, start, length, label, _ = random_field(3)
+    e = field.potentials(field.features(codes, start, length))
+    p, moves, log_z = field.chain(e, start, length, want=True)
+    *_, first, move = field.parts()
+    for r, (a, n) in enumerate(zip(start, length, strict=True)):
+        weight = {s: np.exp(first * s[0] + sum(e[a + i] * s[i] for i in range(n)) + sum(move[s[i], s[i + 1]] for i in range(n - 1))) for s in product((0, 1), repeat=n)}
+        total = sum(weight.values())
+        assert np.allclose(p[a : a + n], [sum(w for s, w in weight.items() if s[i]) / total for i in range(n)]) and np.isclose(log_z[r], np.log(total))
+        pairs = [[sum(w * sum(s[i] == x and s[i + 1] == y for i in range(n - 1)) for s, w in weight.items()) / total for y in (0, 1)] for x in (0, 1)]
+        assert np.allclose(moves[r], pairs)
+
+
+def test_field_gradient_equals_finite_differences():
+    field, codes, start, length, label, weight = random_field(4)
+    assert set(label.tolist()) == {-1, 0, 1}
+    _, grad = field.likelihood(codes, start, length, label, weight)
+    w = field.w.copy()
+    for i in range(len(w)):
+        ends = []
+        for step in (1e-5, -1e-5):
+            field.w = w.copy()
+            field.w[i] += step
+            ends.append(field.likelihood(codes, start, length, label, weight)[0])
+        assert abs((ends[0] - ends[1]) / 2e-5 - grad[i]) < 1e-6
+
+
+def test_sequences_end_with_sentences_and_texts():
+    codes = np.array([0, 0, 1, 0, 0, 1, 0] + [0] * 130)
+    start, length = toxicity.sequences(codes, np.array([4, 4, len(codes)]))
+    assert start.tolist() == [0, 3, 4, 6, 70, 134] and length.tolist() == [3, 1, 2, 64, 64, 3]
 
 
 def clustered(seed, n=600, d=64, copies=120):
