@@ -207,8 +207,8 @@ def test_toxic_offsets(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels)
-    assert model[0].codes[b"Idiot,"] >> 4 and not model[0].codes[b"word."] >> 4 and model[0].codes[b"word."] & 1
-    text = "Thé word. You are an Idiot, she said."
+    assert model[0].codes[b"Idiot,"] >> 4 and not model[0].codes[b"noun."] >> 4 and model[0].codes[b"noun."] & 1
+    text = "Thé noun. You are an Idiot, she said."
     odd = docs.select("doc_id", "text").limit(0).union(docs_of(spark, [(5, text, "en", "a", 1), (6, None, "en", "a", 1)]).select("doc_id", "text"))
     found = {r.doc_id: r.spans for r in odd.mapInArrow(lambda it: toxicity._scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>").collect()}
     assert "idiot" in " ".join(text[s.start : s.end] for s in found[5]).lower() and found[6] == []
