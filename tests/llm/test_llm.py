@@ -298,7 +298,7 @@ def test_caps_lists_keep_their_length_as_the_table_grows():
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
     for n in (10**4, 10**5, 10**6):
-        f = caps.Filters(64, int(np.ceil(np.sqrt(caps.PER_VECTOR * n / caps.CODES))))
+        f = caps.Filters(64, caps.codewords(64, n))
         lists = []
         for v in (x, y):
             own = [set() for _ in v]
@@ -309,6 +309,25 @@ def test_caps_lists_keep_their_length_as_the_table_grows():
         assert sum(not a & b for a, b in zip(*lists, strict=True)) <= 1
 
 
+@pytest.mark.parametrize("d", [1, 2, 3, 4, 6, 8, 12])
+def test_caps_in_few_dimensions(d):
+    """Lists stay as short as in many dimensions, whatever the table's size, and pairs at the threshold share a direction."""
+    rng = np.random.default_rng(d)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, 300, d)))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z / np.linalg.norm(z, axis=1, keepdims=True) if d > 1 else x
+    for n in (2_000, 20_000, 2_000_000):
+        f = caps.Filters(d, caps.codewords(d, n))
+        lists = []
+        for v in (x, y):
+            own = [set() for _ in v]
+            for i, c in zip(*f.decode(v), strict=True):
+                own[i].add(c)
+            lists.append(own)
+        assert np.mean([len(s) for s in lists[0]]) < 3 * caps.LISTED
+        assert sum(not a & b for a, b in zip(*lists, strict=True)) <= 1
+
+
 def test_nearest_recall_and_exactness(spark):
     x = clustered(5)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 64), (5040, [float("nan")] * 64), (5060, [None] + [1.0] * 63)]
