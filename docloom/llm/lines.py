@@ -29,10 +29,11 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_
     # the tree's cheap part for every line: only the leading tokens are looked at, by plain splitting
     tokens = F.split("line", " ")
     lines = lines.select("th", "pos", "line", F.size(tokens).alias("n"), F.xxhash64(F.size(tokens), _masked(F.slice(tokens, 1, DEPTH))).alias("leaf"))
-    lines = lines.filter((F.col("n") >= min_tokens) | F.col("line").rlike(r"[\p{L}\p{N}]"))
-    busy = lines.groupBy("leaf").agg(F.count("*").alias("lines")).filter(F.col("lines") >= min_texts)
-    busy = scratch.keep(busy.select("leaf"), "busy")
-    rows = lines.select("th", "pos", "line", "leaf").join(busy, "leaf").select("th", "pos", "leaf", F.xxhash64(F.lit("line"), "line").alias("own"), _masked(tokens).alias("tokens"))
+    busy = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.max("n").alias("n")).filter(F.col("lines") >= min_texts)
+    busy = scratch.keep(busy.select("leaf", "n"), "busy")
+    # the leaf's n, not the line's, so that only lines of busy leaves are looked at closely
+    rows = lines.drop("n").join(busy, "leaf").filter((F.col("n") >= min_tokens) | F.col("line").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.select("th", "pos", "leaf", F.xxhash64(F.lit("line"), "line").alias("own"), _masked(tokens).alias("tokens"))
     rows = scratch.keep(rows, "rows")
 
     places = rows.filter(F.size("tokens") >= min_tokens).select("leaf", F.posexplode("tokens").alias("i", "token")).groupBy("leaf", "i", "token").count()
@@ -53,21 +54,22 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_
     return out
 
 
-def _without(text: Column, drops: Column) -> Column:
-    """A text less the lines at the sorted places of drops: the stretches between them, put together."""
-    lines = F.split(text, "\n")
+def _without(lines: Column, drops: Column) -> Column:
+    """Lines less those at the sorted places of drops: the stretches between them, put together."""
     start = lambda k: F.when(k == 0, 0).otherwise(F.get(drops, k - 1) + 1)
     end = lambda k: F.coalesce(F.get(drops, k), F.size(lines))
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(drops)), lambda k: F.slice(lines, start(k) + 1, end(k) - start(k)))), "\n")
 
 
 def _joined(docs: DataFrame, text_col: str, min_texts: int, min_tokens: int) -> DataFrame:
-    """(row, text, left, n_lines, n_dropped): each row of docs packed, its text before and after, and counts of lines."""
+    """(row, left, n_lines, n_dropped): each row of docs packed, its text with recurring lines taken out, and counts of lines."""
     drops = dropped_lines(docs, text_col, min_texts, min_tokens)
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text")).withColumn("key", F.md5("text"))
-    out = packed.join(drops, packed.key == drops.th, "left")
-    left = F.when(F.col("drops").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("drops")))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    packed = docs.select(F.struct("*").alias("row"), F.md5(text_col).alias("key"))
+    # lines are a column of their own before they are used: a lambda would else split the text at each step
+    out = packed.join(drops, packed.key == drops.th, "left").select("row", F.col("row")[text_col].alias("text"), "drops")
+    out = out.withColumn("lines", F.split("text", "\n"))
+    left = F.when(F.col("drops").isNull(), F.col("text")).otherwise(_without(F.col("lines"), F.col("drops")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long")
     return out.select("row", left.alias("left"), n_lines.alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
