@@ -434,7 +434,7 @@ def test_lines(spark):
     assert sum("share" in t for t in gone) == 1 and sum("logged in" in t for t in gone) == 1
     assert all(f"q{i}x alpha" in got[i].text for i in range(14)) or sum("alpha" in t for t in gone) == 1
     assert all(got[100 + i].__getitem__("__dropped") == 0 for i in range(30)) and got[500].text is None and got[501].text == ""
-    assert all("short one" in got[i].text for i in range(14))
+    assert sum("short one" in got[i].text for i in range(14)) == 1 and all("" in got[i].text.split("\n") for i in range(14))
 
 
 def test_numeric_rows_that_differ_stay(spark):
@@ -444,14 +444,133 @@ def test_numeric_rows_that_differ_stay(spark):
     assert sum("2019 4 88" in t for t in got.values()) == 1
 
 
+OWN_NAMES = ["row", "key", "place", "nth", "left", "drops", "th", "__drops", "__key", "__stats", "__gone", "stats", "run", "spans", "n", "size", "lines", "n_lines", "n_dropped", "id", "doc", "before", "kept", "found", "s", "words", "upper", "component_id", "pos", "leaf", "tokens", "__lines2", "x", "y", "again"]
+
+
 def test_extra_columns_that_clash(spark):
-    docs = docs_of(spark, odd_rows()).selectExpr("*", "1 AS n", "2 AS key", "3 AS size", "4 AS words", "5 AS tokens", "6 AS s", "7 AS upper", "8 AS line")
-    labels = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
-    n = len(odd_rows())
-    assert minhash.near_duplicates(docs).count() == mixing.taken(docs).count() == lines.without_recurring_lines(docs).count() == quality.scores(docs, labels).count() == toxicity.scores(docs, labels).count() == n
-    for out in (minhash.first_of_each(docs), lines.cleaned(docs), mixing.mixed_documents(docs), quality.accepted(docs, labels)):
-        assert out.columns == docs.columns and out.count() >= 0
-    assert packing.pack(docs, tokenizer_path("word_bpe_49k.json")).count() >= n and bpe.token_counts(docs, tokenizer_path("byte_bpe_50k.json")).count() == n and windows.repeated_passages(docs).count() >= 0
+    """Columns of names that the code itself uses change nothing and pass through where docs' columns do."""
+    rows = odd_rows() + [(200 + i, f"line {i} of many words here\nshared boilerplate line of some words", "en", "a", 60) for i in range(12)]
+    plain = docs_of(spark, rows)
+    docs = plain.selectExpr("*", *(f"{i} AS `{c}`" for i, c in enumerate(OWN_NAMES)))
+    labels = spark.createDataFrame([(3, 1, 0), (None, 0, 1), (2, None, None), (20, 0, 1), (204, 1, 0), (207, 0, 0)], "doc_id long, quality int, toxic int")
+    same = lambda a, b: sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+    for f in (minhash.near_duplicates, mixing.taken, lambda d: quality.scores(d, labels), lambda d: toxicity.scores(d, labels), windows.repeated_passages, lambda d: bpe.token_counts(d, tokenizer_path("byte_bpe_50k.json")), lambda d: packing.pack(d, tokenizer_path("word_bpe_49k.json")).drop("sequence_id")):
+        assert same(f(docs), f(plain))
+    for f in (minhash.first_of_each, lines.cleaned, lines.without_recurring_lines, mixing.mixed_documents, lambda d: quality.accepted(d, labels)):
+        out, want = f(docs), f(plain)
+        assert out.columns[: len(docs.columns)] == docs.columns and same(out, want)
+        assert all(r[c] == i for r in out.limit(3).collect() for i, c in enumerate(OWN_NAMES))
+
+
+def test_repeated_rows_are_kept_once(spark):
+    rows = [(1, "a text of some words", "en", "a", 1), (1, "a text of some words", "de", "b", 2), (1, "another text", "en", "a", 1), (2, "a text of some words", "en", "a", 1), (None, "a text of some words", "en", "a", 1), (3, None, "en", "a", 1), (3, None, "en", "a", 1)]
+    got = minhash.first_of_each(docs_of(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == [("1", "a text of some words"), ("1", "another text"), ("3", "None"), ("None", "a text of some words")]
+
+
+def test_regions_are_parted_at_their_own_depth(spark, monkeypatch):
+    """With a bound of 4 rows outside a region's largest group, regions are parted deeper; links between groups are still found."""
+    monkeypatch.setattr(minhash, "CROSS", 4)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):  # far apart from each other, near enough to share regions; each has one near copy
+        w = list(base)
+        for j in rng.choice(200, 36, replace=False):
+            w[j] = f"v{i}x{j}"
+        rows.append((2 * i, " ".join(w), "en", "a", 0))
+        w[int(rng.integers(200))] = f"z{i}"
+        rows.append((2 * i + 1, " ".join(w), "en", "a", 0))
+    sets = {r[0]: shingle_set(r[1], 1) for r in rows}
+    want = closure(sets, [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs_of(spark, rows), words=1).collect()}
+    assert got == want and 100 < len(set(want.values())) <= 120
+
+
+def test_stars_and_scratch_folder(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 400, (2, 250))
+    want = closure(range(400), list(zip(a.tolist(), b.tolist(), strict=True)))
+    ids, least = components.stars(a, b)
+    assert {int(i): int(x) for i, x in zip(ids, least, strict=True)} == {i: r for i, r in want.items() if i != r}
+    from types import SimpleNamespace
+
+    from docloom.llm import common
+
+    off = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))))
+    with pytest.raises(ValueError):
+        common.shared_dir(off)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    Scratch(spark, "t").keep(spark.range(3), "x")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_mix_equals_its_slots_and_blocks(spark):
+    """What each row gives, recomputed by laying slots over the streams; targets by bisection on the water level."""
+    rows = [tuple(r) for r in table(spark, DATA, "documents").collect()]
+    docs = docs_of(spark, rows)
+    placed, filled, takes, sources, goals = mixing.mix(docs, shard_slots=8)
+    level, total = (0.0, 1e12), sum(n for _, n in sources)
+    for _ in range(200):
+        mid = sum(level) / 2
+        level = (mid, level[1]) if sum(min((i % 3 + 1) * mid, 3 * n) for i, (_, n) in enumerate(sources)) < total else (level[0], mid)
+    assert np.allclose(goals, [min((i % 3 + 1) * level[0], 3 * n) for i, (_, n) in enumerate(sources)])
+    owner, given = defaultdict(dict), Counter()
+    for r in placed.collect():
+        for i in range(r.start, r.start + r.size):
+            assert i not in owner[r.s]
+            owner[r.s][i] = r.doc_id
+    slots = filled.collect()
+    for r in slots:
+        for i in range(r.block * mixing.BLOCK, r.block * mixing.BLOCK + r.words):
+            given[owner[r.s][i]] += 1
+    got = {r.doc_id: sum(x.hi - x.lo for x in r.spans or []) for r in takes.collect()}
+    assert {k: v for k, v in got.items() if v} == dict(given)
+    shards = Counter(r.shard for r in slots)
+    assert set(shards) == set(range(len(shards))) and all(n == 8 for k, n in shards.items() if k < len(shards) - 1)
+    assert len({tuple(sorted(Counter(r.s for r in slots if r.shard == k).items())) for k in list(shards)[:20]}) > 1
+
+
+def test_pipeline_equals_brute_force_by_stage(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from docloom.llm.sql import LINES
+
+    docs = table(spark, DATA, "documents").union(docs_of(spark, [(r[0] and r[0] + 100_000, *r[1:]) for r in odd_rows()]))
+    stages, scratch = dict(corpus_pipeline.STAGES), Scratch(spark, "t")
+    assert list(stages) == ["quality", "lines", "near_dedup", "mixing", "packing"]
+    labels = table(spark, DATA, "labels")
+    one = scratch.keep(stages["quality"](spark, docs, DATA), "one")
+    good = Counter(r.doc_id for r in quality.scores(docs, labels).collect() if r.score >= 0.5)
+    assert one.columns == docs.columns and Counter(r.doc_id for r in one.select("doc_id").collect()) == good and len(good) < docs.count()
+    two = scratch.keep(stages["lines"](spark, one, DATA), "two")
+    con = duckdb.connect()
+    con.register("documents", one.toArrow())
+    want = Counter((i, m) for i, _, _, m in con.execute(LINES).fetchall())
+    import hashlib
+
+    assert Counter((r.doc_id, None if r.text is None else hashlib.md5(r.text.encode()).hexdigest()) for r in two.collect()) == want
+    three = scratch.keep(stages["near_dedup"](spark, two, DATA), "three")
+    rows = {(r.doc_id, r.text): tuple(r) for r in two.collect()}
+    sets = {i: shingle_set(t, 5) for i, t in rows if i is not None}
+    reach = closure(sets, [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert sorted(map(repr, map(tuple, three.collect()))) == sorted(repr(r) for (i, _), r in rows.items() if i is None or reach[i] == i)
+    four = scratch.keep(stages["mixing"](spark, three, DATA), "four")
+    source = defaultdict(list)
+    for r in three.collect():
+        source[r.doc_id].append(words(r.text))
+    for r in four.collect():
+        part = words(r.text)
+        assert part and any(part == w[i : i + len(part)] for w in source[r.doc_id] for i in range(len(w) - len(part) + 1)) and r.n_chars == len(r.text)
+    taken = {r.doc_id: r.taken for r in mixing.taken(three).collect()}
+    got = Counter()
+    for r in four.collect():
+        got[r.doc_id] += len(words(r.text))
+    assert dict(got) == {k: v for k, v in taken.items() if v}
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    ids = Counter(i for r in four.collect() for i in [*library.encode(r.text, add_special_tokens=False).ids, 1])
+    assert Counter(i for r in stages["packing"](spark, four, DATA).collect() for i in r.ids) == ids
 
 
 def test_oracles(spark):
