@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions import text as T
+
 
 def _masks(word: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -77,13 +79,20 @@ def weighted_ratio(a: str, b: str) -> float:
 
 
 def _column(f, query: str, text: Column) -> Column:
+    """f(query, text) in Arrow batches; equal texts of a batch are scored once."""
+
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else f(query, t)).astype("float64")
+        return texts.map({t: f(query, t) for t in texts.dropna().unique()}).astype("float64")
 
     return run(text)
 
 
+def indel(text: Column, query: str) -> Column:
+    """The Indel ratio to a query of any length: in built-in functions as long as a long holds its bits, in Arrow batches beyond."""
+    return T.indel_ratio(text, query) if len(query) <= T.INDEL_MOST else _column(ratio, query, text)
+
+
 def partial(text: Column, query: str) -> Column:
     """partial_ratio to a query; null for a null text."""
     return _column(partial_ratio, query, text)

@@ -15,7 +15,11 @@ HTML_LINK = r"(?i)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>([^<]*)</a>"
 AUTO_LINK = r"<(https?://[^>]+)>"
 MD_IMAGE = r"!\[(.*?)\]\((.*?)\)"
 HTML_IMAGE = r"<img[^>]*src=[\"']([^\"']*)[\"'][^>]*>"
-FENCE = r"(?s)```(\w+)?\n(.*?)\n```"
+FENCE = r"(?sU)```(\w+)?\n(.*?)\n```"
+
+# a run of row lines from the first that a separator follows, as one match in a whole text
+_ROW_LINE, _SEPARATOR_LINE = r"[^\S\n]*\|[^\n]+\|[^\S\n]*", r"[^\S\n]*\|[ \t\x0B\f\r\-:|]+\|[^\S\n]*"
+TABLE = rf"(?:^|(?<=\n)){_ROW_LINE}\n{_SEPARATOR_LINE}(?=\n|\z)(?:\n{_ROW_LINE}(?=\n|\z))*"
 
 
 def below(path: str, folder: str) -> Column:
@@ -24,7 +28,8 @@ def below(path: str, folder: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """A text without white space of any script at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def lines(content: Column) -> Column:
@@ -36,8 +41,8 @@ def stem(path: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper case after anything but a letter, lower case else."""
-    letters = F.transform(F.regexp_extract_all(c, F.lit(r"[A-Za-z]+|[^A-Za-z]+"), F.lit(0)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30))))
+    """Upper case after anything but a letter of any script, lower case else."""
+    letters = F.transform(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0)), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30))))
     return F.array_join(letters, "")
 
 
@@ -94,9 +99,14 @@ def resolved(path: Column, url: Column) -> Column:
     return F.when(~target.contains("\0"), target)
 
 
+INDEL_MOST = 62  # bits of a long that the fold may use
+
+
 def indel_ratio(text: Column, query: str) -> Column:
-    """100 * 2 LCS / (lengths), with the LCS length by a bit-parallel fold over the text's characters; query of up to 62 characters."""
+    """100 * 2 LCS / (lengths), with the LCS length by a bit-parallel fold over the text's characters; query of up to INDEL_MOST characters."""
     m = len(query)
+    if m > INDEL_MOST:
+        raise ValueError(f"a query of more than {INDEL_MOST} characters is for functions.fuzzy.indel")
     full = (1 << m) - 1
     masks: dict[str, int] = {}
     for i, c in enumerate(query):

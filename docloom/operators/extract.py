@@ -2,35 +2,44 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
 
-def numbered_lines(docs: DataFrame) -> DataFrame:
-    return docs.select("path", F.posexplode(T.lines(F.col("content"))).alias("ln", "line"))
+def tables(docs: DataFrame) -> DataFrame:
+    """(path, table_index, headers, rows, line_start, line_end, caption, row_count, col_count): islands of row lines that begin with a header and a separator.
+
+    A document is matched as a whole and its rows come from its own matches: no line is exploded, nothing is shuffled.
+    Lines are counted by the newlines of the matches and of the texts between them."""
+    between, blocks = F.split("content", T.TABLE, -1), F.regexp_extract_all("content", F.lit(T.TABLE), F.lit(0))
+    newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    x = docs.filter(F.col("content").rlike(T.TABLE)).select("path", blocks.alias("blocks"), between.alias("between"))
+    x = x.withColumn("gaps", F.transform("between", newlines)).withColumn("own", F.transform("blocks", newlines))
+    total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, g: a + g)
+    start = lambda i: (total(F.col("gaps"), i + 1) + total(F.col("own"), i)).cast("int")
+    x = x.select("path", F.posexplode(F.transform("blocks", lambda b, i: F.struct(b.alias("block"), start(i).alias("line_start"), F.try_element_at(F.split(F.get("between", i), "\n"), F.lit(-2)).alias("before")))).alias("table_index", "t"))
+    x = x.select("path", "table_index", "t.line_start", F.split("t.block", "\n").alias("lines"), T.strip(F.col("t.before")).alias("before"))
+    caption = F.when((F.col("before") != "") & ~F.col("before").rlike(r"^[#|]"), F.col("before"))
+    body = F.filter(F.slice("lines", 2, F.size("lines")), lambda z: ~z.rlike(T.SEPARATOR))
+    y = x.select("path", "table_index", T.cells(F.get("lines", F.lit(0))).alias("headers"), F.transform(body, T.cells).alias("rows"), "line_start", (F.col("line_start") + F.size("lines") - 1).alias("line_end"), caption.alias("caption"))
+    return y.withColumn("row_count", F.size("rows")).withColumn("col_count", F.size("headers"))
 
 
-def tables(docs: DataFrame) -> DataFrame:
-    """(path, table_index, headers, rows, line_start, line_end, caption, row_count, col_count): islands of row lines that begin with a header and a separator."""
-    order = Window.partitionBy("path").orderBy("ln")
-    x = numbered_lines(docs).withColumn("is_row", F.col("line").rlike(T.ROW)).withColumn("is_sep", F.col("line").rlike(T.SEPARATOR))
-    x = x.withColumn("next_sep", F.lead("is_sep").over(order)).withColumn("before", F.lag("line").over(order)).withColumn("before_row", F.coalesce(F.lag("is_row").over(order), F.lit(False)))
-    # within one run of row lines the first line that a separator follows is the header; the rest of the run is its body
-    x = x.withColumn("run", F.sum((F.col("is_row") & ~F.col("before_row")).cast("int")).over(order)).filter("is_row")
-    in_run = Window.partitionBy("path", "run")
-    x = x.withColumn("head", F.min(F.when(F.col("next_sep"), F.col("ln"))).over(in_run)).filter("head IS NOT NULL AND ln >= head")
-    caption = F.when((T.strip(F.col("before")) != "") & ~T.strip(F.col("before")).rlike(r"^[#|]"), T.strip(F.col("before")))
-    y = x.groupBy("path", F.col("head").alias("line_start")).agg(
-        F.max("ln").alias("line_end"),
-        F.max(F.when(F.col("ln") == F.col("head"), F.col("line"))).alias("header"),
-        F.max(F.when(F.col("ln") == F.col("head"), caption)).alias("caption"),
-        F.sort_array(F.collect_list(F.when(~F.col("is_sep") & (F.col("ln") > F.col("head")), F.struct("ln", "line")))).alias("body"),
-    )
-    y = y.withColumn("table_index", F.row_number().over(Window.partitionBy("path").orderBy("line_start")) - 1)
-    rows = F.transform("body", lambda b: T.cells(b["line"]))
-    return y.select("path", "table_index", T.cells(F.col("header")).alias("headers"), rows.alias("rows"), "line_start", "line_end", "caption", F.size("body").alias("row_count"), F.size(T.cells(F.col("header"))).alias("col_count"))
+def table_text(headers="headers", rows="rows", caption="caption"):
+    """A table as lines of text: its caption, its header and its rows, cells between bars."""
+    head = F.when(F.col(caption) != "", F.concat(F.lit("Table: "), F.col(caption)))
+    return F.concat_ws("\n", head, F.array_join(headers, " | "), F.nullif(F.array_join(F.transform(rows, lambda r: F.array_join(r, " | ")), "\n"), F.lit("")))
+
+
+def enriched(docs: DataFrame, tables: DataFrame, image_text: DataFrame | None = None) -> DataFrame:
+    """docs with raw_content and, as content, what a search should find: the text, its tables as text in their order, the texts of its images."""
+    texts = tables.select("path", "table_index", table_text().alias("t")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("table_index", "t"))).alias("ts"))
+    x = docs.join(texts.select("path", F.array_join(F.transform("ts", lambda z: z["t"]), "\n\n").alias("table_text")), "path", "left")
+    x = x.join(image_text.select("path", "image_ocr_text"), "path", "left") if image_text is not None else x.withColumn("image_ocr_text", F.lit(None).cast("string"))
+    return x.withColumn("raw_content", F.col("content")).withColumn("content", F.concat_ws("\n\n", "raw_content", "table_text", "image_ocr_text")).drop("table_text", "image_ocr_text")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -45,10 +54,17 @@ def links(docs: DataFrame) -> DataFrame:
     return found.select("path", F.col("l.url").alias("url"), F.col("l.text").alias("text"), kind.alias("type"))
 
 
-def resolved(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """links with target and valid: internal targets are cut at #, joined to the file's folder, freed of . and .., and looked up."""
+def places(paths: DataFrame) -> DataFrame:
+    """(path): files and all folders above them, each once."""
+    parts = F.split("path", "/")
+    return paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
+
+
+def resolved(found: DataFrame, docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """links with target and valid: internal targets are cut at #, joined to the file's folder, freed of . and .., and looked up
+    among all files(path), or the documents where these aren't given, and the folders above them."""
     x = found.withColumn("target", F.when(F.col("type") == "internal", T.resolved(F.col("path"), F.col("url"))))
-    known = docs.select(F.col("path").alias("target"), F.lit(True).alias("there"))
+    known = places((files if files is not None else docs).select("path")).select(F.col("path").alias("target"), F.lit(True).alias("there"))
     return x.join(known, "target", "left").select("path", "url", "text", "type", "target", ((F.col("type") != "internal") | F.coalesce("there", F.lit(False))).alias("valid"))
 
 
@@ -71,31 +87,44 @@ def code_blocks(docs: DataFrame, language: str | None = None) -> DataFrame:
     return out.filter(F.col("language") == language) if language else out
 
 
+def chunk_text(text: str, most: int) -> list[dict]:
+    """The chunks of one text, in one pass over its lines: see chunks()."""
+    out, lines, n, stack = [], [], 0, []
+
+    def emit(headings):
+        whole = "\n".join(lines)
+        out.append({"content": whole.strip(), "heading_hierarchy": headings, "token_count": len(whole) // 4})
+
+    for line in text.split("\n"):
+        if line.strip().startswith("#"):
+            title = line.lstrip("#")
+            level = len(line) - len(title)
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            if level <= 2 and lines:
+                emit([t for _, t in stack])
+                lines, n = [], 0
+            stack.append((level, title.strip()))
+        n += len(line) + (1 if lines else 0)
+        lines.append(line)
+        if n > most:
+            emit([t for _, t in stack])
+            lines, n = [], 0
+    if lines:
+        emit([t for _, t in stack])
+    return out
+
+
 def chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """(path, chunk_index, content, heading_hierarchy, token_count): a fold over lines with a stack of headings; cuts before headings of level 1 and 2 and after max_tokens * 4 characters."""
-    kind = "struct<buf:array<string>,n:int,st:array<struct<l:int,t:string>>,out:array<struct<c:string,h:array<string>>>>"
-    start = F.struct(F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"), F.array().cast("array<struct<l:int,t:string>>").alias("st"), F.array().cast("array<struct<c:string,h:array<string>>>").alias("out")).cast(kind)
-    texts = lambda st: F.transform(st, lambda h: h["t"])
-    emit = lambda s, h: F.concat(s["out"], F.array(F.struct(F.array_join(s["buf"], "\n").alias("c"), h.alias("h"))))
-
-    def step(s, line):
-        level = F.length(line) - F.length(F.ltrim(line, F.lit("#")))
-        head = T.strip(line).startswith("#")
-        above = F.filter(s["st"], lambda h: h["l"] < level)
-        new = F.concat(above, F.array(F.struct(level.cast("int").alias("l"), T.strip(F.ltrim(line, F.lit("#"))).alias("t"))))
-        cut = head & (level <= 2) & (F.size(s["buf"]) > 0)
-        st = F.when(head, new).otherwise(s["st"])
-        out = F.when(cut, emit(s, texts(above))).otherwise(s["out"])
-        buf = F.concat(F.when(cut, F.array().cast("array<string>")).otherwise(s["buf"]), F.array(line))
-        n = F.when(cut | (F.size(s["buf"]) == 0), F.length(line)).otherwise(s["n"] + 1 + F.length(line))
-        full = n > max_tokens * 4
-        one = F.struct(buf.alias("buf"), n.cast("int").alias("n"), st.alias("st"), out.alias("out")).cast(kind)
-        done = F.aggregate(F.array(one), one, lambda _, x: F.struct(F.array().cast("array<string>").alias("buf"), F.lit(0).alias("n"), x["st"].alias("st"), emit(x, texts(x["st"])).alias("out")).cast(kind))
-        return F.when(full, done).otherwise(one)
-
-    ended = lambda s: F.when(F.size(s["buf"]) > 0, emit(s, texts(s["st"]))).otherwise(s["out"])
-    x = docs.select("path", F.posexplode(F.aggregate(T.lines(F.col("content")), start, step, ended)).alias("chunk_index", "k"))
-    return x.select("path", "chunk_index", T.strip(F.col("k.c")).alias("content"), F.col("k.h").alias("heading_hierarchy"), F.expr("length(k.c) div 4").alias("token_count"))
+    """(path, chunk_index, content, heading_hierarchy, token_count): lines in order, with a stack of headings; cuts before
+    headings of level 1 and 2 and after max_tokens * 4 characters. One pass over each text, in Arrow batches, no shuffle."""
+    kind = pa.list_(pa.struct([("content", pa.string()), ("heading_hierarchy", pa.list_(pa.string())), ("token_count", pa.int32())]))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else chunk_text(t, 4 * max_tokens) for t in texts.to_pylist()], kind)
+
+    made = F.arrow_udf(run, "array<struct<content:string,heading_hierarchy:array<string>,token_count:int>>")
+    return docs.select("path", F.posexplode(made(F.col("content"))).alias("chunk_index", "k")).select("path", "chunk_index", "k.*")
 
 
 def fixed_chunks(docs: DataFrame, width: int = 2048) -> DataFrame:
@@ -132,3 +161,10 @@ def health(docs: DataFrame, tables: DataFrame, images: DataFrame, links: DataFra
     i = images.groupBy("path").count().agg(F.count("*").alias("files_with_images"), F.coalesce(F.sum("count"), F.lit(0)).alias("images"))
     k = links.agg(F.count("*").alias("links"), F.count_if(~F.col("valid")).alias("broken_links"))
     return n.crossJoin(t).crossJoin(i).crossJoin(k)
+
+
+def picture_text(annotations="annotations", fallback: str = "picture"):
+    """A picture's annotations(kind, label, text) as lines: its class, its molecule and its description; the fallback where there are none."""
+    line = lambda a: F.when(a["kind"] == "class", F.concat(F.lit("Picture type: "), a["label"])).when(a["kind"] == "molecule", F.concat(F.lit("SMILES: "), a["text"])).when(a["kind"] == "description", a["text"])
+    found = F.array_join(F.filter(F.transform(annotations, line), lambda t: t.isNotNull() & (t != "")), "\n")
+    return F.coalesce(F.nullif(found, F.lit("")), F.lit(fallback))

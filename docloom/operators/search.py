@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.functions.fuzzy import partial, weighted
+from docloom.functions.fuzzy import indel, partial, weighted
 
 
 def _query(q: str) -> str:
@@ -15,8 +17,9 @@ def _query(q: str) -> str:
     return q.lower()
 
 
-def in_folder(docs: DataFrame, folder: str | None) -> DataFrame:
-    return docs.filter(F.col("path").startswith(folder.rstrip("/") + "/")) if folder else docs
+def in_folder(docs: DataFrame, folder: str | None, raw: bool = False) -> DataFrame:
+    """Documents below a folder; with raw, those whose path merely starts with the text ("a" also takes "ab/...")."""
+    return docs.filter(F.col("path").startswith(folder if raw else folder.rstrip("/") + "/")) if folder else docs
 
 
 def exact(docs: DataFrame, q: str, folder: str | None = None) -> DataFrame:
@@ -46,7 +49,7 @@ def content(docs: DataFrame, q: str, folder: str | None = None) -> DataFrame:
 
 def fuzzy(docs: DataFrame, q: str, k: int = 5, least: float = 60.0, folder: str | None = None, scorer: str = "indel") -> DataFrame:
     """The k titles nearest to a query: by the Indel ratio of lower-cased titles, in built-in functions, or by the weighted ratio ("weighted", case kept)."""
-    ratio = weighted(F.col("title"), q) if scorer == "weighted" else T.indel_ratio(F.lower("title"), _query(q))
+    ratio = weighted(F.col("title"), q) if scorer == "weighted" else indel(F.lower("title"), _query(q))
     x = in_folder(docs, folder).withColumn("ratio", F.round(ratio, 6)).orderBy(F.desc("ratio"), "path").limit(k).filter(F.col("ratio") > least)
     return x.select("path", "title", F.round(F.col("ratio") * 0.8, 6).alias("score"), F.lit("fuzzy").alias("match_type"))
 
@@ -82,16 +85,17 @@ def first_seen(*found: DataFrame) -> DataFrame:
     return out.withColumn("n", first).filter("n = 1").drop("n")
 
 
-def hybrid(docs: DataFrame, q: str, limit: int = 10, folder: str | None = None) -> DataFrame:
-    """Exact hits, then lines while there are fewer than 2 * limit, then titles; first seen, best first."""
-    cap, one = 2 * limit, exact(docs, q, folder)
-    found = [one]
-    if (n := one.limit(cap).count()) < cap:
-        two = grep(docs, q, folder)
-        found.append(two)
-        if n + two.limit(cap).count() < cap:
-            found.append(fuzzy(docs, q, folder=folder, scorer="weighted"))
-    return first_seen(*found).orderBy(F.desc("score"), "strategy", "path").limit(limit).select("path", "title", "score", "match_type")
+def hybrid(docs: DataFrame, q: str, limit: int = 10, folder: str | None = None, gate: int | None = None) -> DataFrame:
+    """Exact hits, then lines while there are fewer than the gate (2 * limit by default), then titles; first seen, best first.
+
+    Whether a search is needed is decided in the plan: the documents of the next one pass a broadcast row that tells it, so
+    that nothing is counted ahead and a search that isn't needed reads no lines."""
+    cap, one = gate or 2 * limit, exact(docs, q, folder)
+    fewer = lambda *found: F.broadcast(reduce(DataFrame.unionByName, [f.select("path").limit(cap) for f in found]).agg((F.count("*") < cap).alias("open")))  # noqa: E731  one row
+    past = lambda d, *found: d.crossJoin(fewer(*found)).filter("open").drop("open")
+    two = grep(past(docs, one), q, folder)
+    three = fuzzy(past(docs.select("path", "title"), one, two), q, folder=folder, scorer="weighted")
+    return first_seen(one, two, three).orderBy(F.desc("score"), "strategy", "path").limit(limit).select("path", "title", "score", "match_type")
 
 
 def reranked(found: DataFrame, model_score, k: int) -> DataFrame:

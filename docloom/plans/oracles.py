@@ -25,6 +25,31 @@ Q = """q AS (select list_transform(list_zip(a.embedding, b.embedding), lambda z:
  sm AS (select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as similarity from embeddings, q), tp AS (select * from sm order by similarity desc, vec_id limit 5)"""
 EX = "case when contains(lower(path), 'red') then 100.0::double when contains(lower(title), 'red') then 95.0::double end"
 
+GREP = """gl AS (select cast(doc_id as varchar) as path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as ln from documents where contains(lower(text), 'the')),
+ gh AS (select *, contains(lower(line), 'the')::int as hit from gl),
+ g3 AS (select *, case when sum(hit) over (partition by path order by ln) <= 3 then hit else 0 end as h from gh),
+ gn AS (select *, max(h) over (partition by path order by ln rows between 2 preceding and 2 following) as near from g3),
+ gk AS (select *, row_number() over (partition by path order by ln) as n from gn where near = 1),
+ ge AS (select path, string_agg(line, chr(10) order by ln) as excerpt from gk where n <= 5 group by path)"""
+# length of the longest common subsequence with 'red widgit', a bit for each of its characters
+INDEL = """im AS (select cast(p_partkey as varchar) as path, lower(p_name) as title, list_transform(string_split(lower(p_name), ''), lambda c: list_sum(list_transform(range(0, 10), lambda i: case when substring('red widgit', i::int + 1, 1) = c then (1::bigint << i::int) else 0::bigint end))::bigint) as masks from part),
+ ir AS (select path, round(200.0::double * (10 - bit_count(list_reduce(list_prepend(1023::bigint, masks), lambda s, m: ((s + (s & m)) | (s - (s & m))) & 1023::bigint))) / (10 + length(title)), 6) as ratio from im)"""
+# the fold over lines as a recursion: where a chunk starts depends on the characters since the last cut only
+CHUNK = LN.replace("md AS (", "recursive md AS (", 1) + """, cl AS (select path, n, line, regexp_matches(trim(line, E' \\t\\r\\x0b\\f'), '^#') as head, length(line) - length(ltrim(line, '#')) as level, trim(ltrim(line, '#'), E' \\t\\r\\x0b\\f') as title from ln),
+ walk AS (select path, n, 0 as chunk, length(line) as chars, length(line) > 2048 as full_ from cl where n = 0
+  union all select c.path, c.n, w.chunk + case when w.full_ or (c.head and c.level <= 2) then 1 else 0 end,
+   case when w.full_ or (c.head and c.level <= 2) then length(c.line) else w.chars + 1 + length(c.line) end,
+   case when w.full_ or (c.head and c.level <= 2) then length(c.line) else w.chars + 1 + length(c.line) end > 2048
+  from walk w join cl c on c.path = w.path and c.n = w.n + 1),
+ cx AS (select c.*, w.chunk from walk w join cl c on c.path = w.path and c.n = w.n),
+ ce AS (select path, chunk, max(n) as last, string_agg(line, chr(10) order by n) as body from cx group by path, chunk),
+ -- a heading stands at a chunk's end unless one of its level or above follows, the heading that opens the next chunk included
+ nx AS (select e.*, f.head as next_head, f.level as next_level from ce e left join cx f on f.path = e.path and f.n = e.last + 1),
+ hs AS (select x.path, x.chunk, h.n, h.title from nx x join cl h on h.path = x.path and h.head and h.n <= x.last
+  where not exists (select 1 from cl o where o.path = h.path and o.head and o.n > h.n and o.n <= x.last and o.level <= h.level)
+  and not (length(x.body) <= 2048 and coalesce(x.next_head, false) and x.next_level <= h.level)),
+ ck AS (select x.path, x.chunk as chunk_index, (length(body) // 4)::int as token_count, md5(trim(body, E' \\t\\r\\n\\x0b\\f')) as digest, coalesce((select string_agg(title, ' > ' order by n) from hs where hs.path = x.path and hs.chunk = x.chunk), '') as headings from nx x)"""
+
 ORACLE_SQL = {
     "doc_scan": f"with {MD} select path, strlen(content) as size, md5(content) as digest from md",
     "path_parts": f"with {MD} select path, split_part(path, '/', 1) as team, split_part(path, '/', 2) as category from md",
@@ -46,7 +71,11 @@ ORACLE_SQL = {
     "code_blocks": f"with {MD} select path, 0::int as pos, 'yaml' as language, concat('sku: ', doc_id, chr(10), 'brand: ', p_brand) as code from md",
     "find_configs": f"with {MD} select path, 0::int as pos, 'yaml' as language, concat('sku: ', doc_id, chr(10), 'brand: ', p_brand) as code from md where contains(lower(path), 'red') or contains(lower(title), 'red')",
     "fixed_chunks": f"with {MD} select path, i::int as chunk_index, md5(substring(content, i * 2048 + 1, 2048)) as digest from (select path, content, unnest(range(0, (length(content) - 1) // 2048 + 1)) as i from md)",
-    "enrich_content": f"with {MD} select path, md5(concat(content, chr(10), chr(10), 'Field | Value')) as enriched from md",
+    "enrich_content": f"with {MD} select path, md5(concat(content, chr(10), chr(10), 'Table: Part specification', chr(10), 'Field | Value', chr(10), 'brand | ', p_brand, chr(10), 'type | ', p_type, chr(10), 'size | ', p_size)) as enriched, md5(content) as raw from md",
+    "grep_search": f"with {GREP} select path, least(90.0::double, 70.0::double + 5 * ((length(excerpt) - length(replace(lower(excerpt), 'the', ''))) // 3)) as score, md5(excerpt) as digest from ge",
+    "fuzzy_titles": f"with {INDEL} select path, round(ratio * 0.8::double, 6) as score from (select * from ir order by ratio desc, path limit 5) where ratio > 60",
+    "chunks": f"with {CHUNK} select path, chunk_index, token_count, digest, headings from ck",
+    "chunk_stats": f"with {CHUNK} select path, count(*) as chunks, max(token_count) as longest from ck group by path",
     "exact_search": f"with {MD} select path, title, score, 'exact' as match_type from (select *, {EX} as score from md) where score is not null",
     "exact_search_folder": f"with {MD} select path, title, 100.0::double as score, 'exact' as match_type from md where starts_with(path, 'src1/en/')",
     "content_search": f"with {CS} select path, score, excerpt from cs",

@@ -89,7 +89,7 @@ QUERIES = {
     "folder_counts": lambda s, d: extract.folder_counts(md_docs(s, d)),
     "table_islands": lambda s, d: _tables(s, d).select("path", "table_index", "line_start", "line_end", "caption", "row_count", "col_count"),
     "table_cells": lambda s, d: _tables(s, d).select("path", F.posexplode("rows").alias("row", "cells")).select("path", "row", F.posexplode("cells").alias("col", "cell")),
-    "table_text": lambda s, d: _tables(s, d).select("path", F.concat_ws("\n", F.concat(F.lit("Table: "), F.col("caption")), F.array_join("headers", " | "), F.array_join(F.transform("rows", lambda r: F.array_join(r, " | ")), "\n")).alias("text")),
+    "table_text": lambda s, d: _tables(s, d).select("path", extract.table_text().alias("text")),
     "get_table": lambda s, d: _tables(s, d).filter("path LIKE '%doc-000021.md' AND table_index = 0").select("path", F.array_join("headers", ",").alias("headers")),
     "search_tables": table_hits_query,
     "image_refs": lambda s, d: extract.images(md_docs(s, d)),
@@ -103,7 +103,7 @@ QUERIES = {
     "find_configs": lambda s, d: extract.code_blocks(search.exact(_titled(s, d), "red").select("path").join(md_docs(s, d), "path"), "yaml"),
     "chunks": lambda s, d: extract.chunks(md_docs(s, d)).select("path", "chunk_index", "token_count", F.md5("content").alias("digest"), F.array_join("heading_hierarchy", " > ").alias("headings")),
     "fixed_chunks": lambda s, d: extract.fixed_chunks(md_docs(s, d)).select("path", "chunk_index", F.md5("content").alias("digest")),
-    "enrich_content": lambda s, d: _cut(md_docs(s, d).join(_tables(s, d).select("path", F.array_join("headers", " | ").alias("t")), "path", "left"), enriched=F.md5(F.concat_ws("\n\n", "content", "t"))),
+    "enrich_content": lambda s, d: extract.enriched(md_docs(s, d), _tables(s, d)).select("path", F.md5("content").alias("enriched"), F.md5("raw_content").alias("raw")),
     "exact_search": lambda s, d: search.exact(_titled(s, d), "red"),
     "exact_search_folder": lambda s, d: search.exact(_titled(s, d), "doc-", "src1/en"),
     "grep_search": lambda s, d: search.grep(_plain(s, d), "the").select("path", "score", F.md5("excerpt").alias("digest")),
