@@ -22,6 +22,18 @@ def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(valid).select(T.below("path", folder).alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), text.alias("content"))
 
 
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of all files below a folder, whatever they are; their bytes aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(T.below("path", folder).alias("path"))
+
+
+def unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, error) of the .md files that read_tree leaves out."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
+    return files.filter(~F.is_valid_utf8(F.col("content").cast("string"))).select(T.below("path", folder).alias("path"), F.lit("not UTF-8").alias("error"))
+
+
 def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, title_text, content): documents rendered as Markdown with the part of the same key."""
     documents, part = table(spark, sf_dir, "documents"), table(spark, sf_dir, "part")

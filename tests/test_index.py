@@ -1,6 +1,10 @@
+import pandas as pd
+import pytest
+
+from docloom.functions import plugins
 from docloom.functions.plugins import embed, overlap
 from docloom.sources import index
-from docloom.sources.corpus import md_docs, read_tree
+from docloom.sources.corpus import md_docs, read_files, read_tree, unreadable
 from docloom.streaming import refresh
 
 
@@ -23,9 +27,45 @@ def test_read_tree_and_stream(spark, tmp_path):
     spark.createDataFrame([("p", 1, "old"), ("q", 1, "q")], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
     run = lambda: refresh.start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     run()
-    spark.createDataFrame([("p", 2, "new")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    run()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/v1").collect())) == [("p", 2, "new"), ("q", 1, "q")]
+    for t, text in ((2, "new [q](q) [r](r)"), (3, "newer\n| a |\n|---|\n| b |\n")):
+        spark.createDataFrame([("p" if t == 2 else "r", t, text)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        run()
+    got = refresh.latest(spark, f"{tmp_path}/out")
+    assert sorted(map(tuple, got["docs"].select("path", "modified", "raw_content").collect())) == [("p", 2, "new [q](q) [r](r)"), ("q", 1, "q"), ("r", 3, "newer\n| a |\n|---|\n| b |\n")]
+    assert sorted(map(tuple, got["doc_links"].select("path", "url", "valid").collect())) == [("p", "q", True), ("p", "r", True)]
+    assert got["doc_tables"].count() == 1 and got["doc_embeddings"].count() == got["doc_chunks"].count() == 3 and refresh.versions(spark, f"{tmp_path}/out") == [1, 2]
+    assert [tuple(r) for r in unreadable(spark, f"file://{tmp_path}/docs").collect()] == [("bad.md", "not UTF-8")]
+    assert sorted(r.path for r in read_files(spark, f"file://{tmp_path}/docs").collect()) == ["a b/x.md", "bad.md", "no.txt"]
+
+
+def test_meta_and_staleness(spark, tmp_path):
+    import datetime
+
+    docs = spark.createDataFrame([("a/x.md", datetime.datetime(2020, 1, 1), "# X\n| h |\n|---|\n| c |\n![p](p.png) [f](../b.pdf) [d](../a)"), ("y.md", datetime.datetime(2020, 1, 2), "")], "path string, modified timestamp, content string")
+    files = spark.createDataFrame([("b.pdf",), ("a/x.md",)], "path string")
+    images = spark.createDataFrame([("a/p.png", 9, 3, 2, "PNG", "words in it")], "path string, size_bytes long, width int, height int, format string, ocr_text string")
+    said = []
+    index.build(docs, f"file://{tmp_path}/i", files=files, images=images, progress=lambda percent, name: said.append((percent, name)))
+    m = index.meta(spark, f"file://{tmp_path}/i").first()
+    assert m.docs_count == 2 and m.embedder == "hashed" and "images" in m.features and said[-1] == (100, "index_meta")
+    of = index.load(spark, f"file://{tmp_path}/i")
+    x = of["docs"].filter("path = 'a/x.md'").first()
+    assert x.content == x.raw_content + "\n\nh\nc\n\np: words in it" and {r.url: r.valid for r in of["doc_links"].collect()} == {"p.png": False, "../b.pdf": True, "../a": True}
+    check = lambda d: index.stale(index.meta(spark, f"file://{tmp_path}/i"), d).first()
+    assert not check(docs).stale and check(docs.limit(1)).stale and check(docs.selectExpr("path", "current_timestamp() + interval 1 day AS modified")).changed
+
+
+def test_services_and_models_with_fakes(spark):
+    sent = []
+    plugins.register_embedder("fake", "inference", "http://none", send=lambda body: sent.append(body) or [[[1.0, 2.0]] if t else [0.0, 0.0] for t in body["inputs"]], batch=2)
+    assert plugins.EMBEDDERS["fake"](pd.Series(["a", None, "b"])).tolist() == [[1.0, 2.0], [0.0, 0.0], [1.0, 2.0]] and len(sent) == 2
+    plugins.register_embedder("fake2", "service", "http://none", "m", send=lambda body: {"data": [{"index": i, "embedding": [i]} for i in reversed(range(len(body["input"])))]})
+    assert plugins.query_vector("x", "fake2") == [0.0] and plugins.EMBEDDERS["fake2"](pd.Series(["a", "b"])).tolist() == [[0.0], [1.0]]
+    with pytest.raises(ValueError):
+        plugins.register_embedder("x", "nothing")
+    ranked = plugins.cross_encoder("m", score=lambda pairs: [float(len(t)) for _, t in pairs])
+    df = spark.createDataFrame([("abc",), (None,)], "t string")
+    assert [r[0] for r in df.select(ranked("q", df.t)).collect()] == [3.0, 0.0] and plugins.available_reader(("nosuchlibrary",)) == "none"
 
 
 def test_plugins(spark):

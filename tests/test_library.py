@@ -2,7 +2,8 @@ import struct
 
 import pytest
 
-from docloom.plans.library import SKILLS, Library, call
+from docloom.operators import search
+from docloom.plans.library import MANIFEST, SKILLS, TOOLS, Library, call, parsed, schema
 from docloom.sources import images
 from docloom.sources.corpus import read_tree
 
@@ -32,6 +33,23 @@ def test_tools(library):
     assert (h.files, h.tables, h.links, h.broken_links) == (2, 1, 3, 2)  # the scan gives no row for the empty file
 
 
+def test_answers_and_arguments(library):
+    assert "no-such.md" in call(library, "get_file", path="no-such.md") and "folder" in call(library, "get_file", path="net") and call(library, "get_file", path="net/vpn/more.md").endswith("Nothing else.\n")
+    assert parsed("search_docs", {"query": "404", "limit": "3"}) == {"query": "404", "limit": 3} and parsed("search_tables", {"min_score": "0.5"}) == {"min_score": 0.5}
+    assert schema("search_docs")["parameters"]["required"] == ["query"] and schema("get_table")["parameters"]["properties"]["table_index"] == {"type": "integer"}
+    assert all(schema(name)["parameters"]["type"] == "object" for name in (*TOOLS, *SKILLS)) and set(MANIFEST) == set(SKILLS)
+    long = "how to set up the virtual private network of the whole company " * 2
+    assert search.fuzzy(library.docs, long, least=0.0).count() == 2
+    assert {r.path for r in search.in_folder(library.docs, "net/v", raw=True).collect()} == {"net/vpn/setup.md", "net/vpn/more.md"} and search.in_folder(library.docs, "net/v").count() == 0
+    assert library.docs.filter("content LIKE '%80%'").count() == 0 and "use 3" in library.docs.filter("path LIKE '%setup%'").first().content.split("Table: Ports")[1]
+
+
+def test_rerank_only_beyond_the_limit(library):
+    other = Library(library.of, "overlap")
+    assert [r.match_type for r in other.search_docs("vpn", limit=1).collect()] == ["exact+reranked"]
+    assert {r.match_type for r in other.search_docs("vpn", limit=5).collect()} == {"exact"}
+
+
 def test_context_and_workflows(library):
     text = library.rich_context("vpn")
     assert text.startswith("# Search Results for: vpn") and "[More](net/vpn/more.md)" in text and "2 broken link(s)" in text and "... and 9 more rows" in text
