@@ -18,8 +18,9 @@ HTML_IMAGE = r"<img[^>]*src=[\"']([^\"']*)[\"'][^>]*>"
 FENCE = r"(?sU)```(\w+)?\n(.*?)\n```"
 
 # a run of row lines from the first that a separator follows, as one match in a whole text
-_ROW_LINE, _SEPARATOR_LINE = r"[^\S\n]*\|[^\n]+\|[^\S\n]*", r"[^\S\n]*\|[ \t\x0B\f\r\-:|]+\|[^\S\n]*"
-TABLE = rf"(?:^|(?<=\n)){_ROW_LINE}\n{_SEPARATOR_LINE}(?=\n|\z)(?:\n{_ROW_LINE}(?=\n|\z))*"
+_ROW_LINE, _SEPARATOR_LINE = r"[^\S\n]*\|[^\n]+\|[^\S\n]*$", r"[^\S\n]*\|[ \t\x0B\f\r\-:|]+\|[^\S\n]*$"
+TABLE = rf"(?dm)^{_ROW_LINE}\n{_SEPARATOR_LINE}(?:\n{_ROW_LINE})*"
+
 
 
 def below(path: str, folder: str) -> Column:
@@ -93,7 +94,7 @@ def padded(row: Column, width: Column) -> Column:
 def resolved(path: Column, url: Column) -> Column:
     """A link's target from its document's folder, cut at #, freed of . and ..; null where it leaves the collection."""
     parts = F.split(F.concat(F.regexp_extract(path, r"^(.*/)?[^/]*$", 1), F.substring_index(url, "#", 1)), "/")
-    up = lambda a: F.when(F.size(a) == 0, F.array(F.lit("\0"))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
+    up = lambda a: F.when((F.size(a) == 0) | (F.get(a, F.lit(0)) == "\0"), F.array(F.lit("\0"))).otherwise(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))))
     walk = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when((p == ".") | (p == ""), a).when(p == "..", up(a)).otherwise(F.concat(a, F.array(p))))
     target = F.array_join(walk, "/")
     return F.when(~target.contains("\0"), target)

@@ -16,7 +16,7 @@ def tables(docs: DataFrame) -> DataFrame:
     Lines are counted by the newlines of the matches and of the texts between them."""
     between, blocks = F.split("content", T.TABLE, -1), F.regexp_extract_all("content", F.lit(T.TABLE), F.lit(0))
     newlines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    x = docs.filter(F.col("content").rlike(T.TABLE)).select("path", blocks.alias("blocks"), between.alias("between"))
+    x = docs.filter(F.contains("content", F.lit("|"))).select("path", blocks.alias("blocks"), between.alias("between"))
     x = x.withColumn("gaps", F.transform("between", newlines)).withColumn("own", F.transform("blocks", newlines))
     total = lambda c, n: F.aggregate(F.slice(c, 1, n), F.lit(0), lambda a, g: a + g)
     start = lambda i: (total(F.col("gaps"), i + 1) + total(F.col("own"), i)).cast("int")
@@ -24,8 +24,8 @@ def tables(docs: DataFrame) -> DataFrame:
     x = x.select("path", "table_index", "t.line_start", F.split("t.block", "\n").alias("lines"), T.strip(F.col("t.before")).alias("before"))
     caption = F.when((F.col("before") != "") & ~F.col("before").rlike(r"^[#|]"), F.col("before"))
     body = F.filter(F.slice("lines", 2, F.size("lines")), lambda z: ~z.rlike(T.SEPARATOR))
-    y = x.select("path", "table_index", T.cells(F.get("lines", F.lit(0))).alias("headers"), F.transform(body, T.cells).alias("rows"), "line_start", (F.col("line_start") + F.size("lines") - 1).alias("line_end"), caption.alias("caption"))
-    return y.withColumn("row_count", F.size("rows")).withColumn("col_count", F.size("headers"))
+    y = x.select("path", "table_index", T.cells(F.get("lines", F.lit(0))).alias("headers"), body.alias("body"), "line_start", (F.col("line_start") + F.size("lines") - 1).alias("line_end"), caption.alias("caption"))
+    return y.select("path", "table_index", "headers", F.transform("body", T.cells).alias("rows"), "line_start", "line_end", "caption", F.size("body").alias("row_count"), F.size("headers").alias("col_count"))
 
 
 def table_text(headers="headers", rows="rows", caption="caption"):

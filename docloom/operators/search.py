@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,10 +89,12 @@ def hybrid(docs: DataFrame, q: str, limit: int = 10, folder: str | None = None,
     Whether a search is needed is decided in the plan: the documents of the next one pass a broadcast row that tells it, so
     that nothing is counted ahead and a search that isn't needed reads no lines."""
     cap, one = gate or 2 * limit, exact(docs, q, folder)
-    fewer = lambda *found: F.broadcast(reduce(DataFrame.unionByName, [f.select("path").limit(cap) for f in found]).agg((F.count("*") < cap).alias("open")))  # noqa: E731  one row
-    past = lambda d, *found: d.crossJoin(fewer(*found)).filter("open").drop("open")
-    two = grep(past(docs, one), q, folder)
-    three = fuzzy(past(docs.select("path", "title"), one, two), q, folder=folder, scorer="weighted")
+    counted = lambda f: F.broadcast(f.select("path").limit(cap).agg(F.count("*").alias("n")))  # noqa: E731  one row
+    past = lambda d, n: d.crossJoin(n).filter(F.col("n") < cap).drop("n")
+    first = counted(one)
+    two = grep(past(docs, first), q, folder)
+    both = F.broadcast(counted(two).select(F.col("n").alias("m")).crossJoin(first).select((F.col("n") + F.col("m")).alias("n")))
+    three = fuzzy(past(docs.select("path", "title"), both), q, folder=folder, scorer="weighted")
     return first_seen(one, two, three).orderBy(F.desc("score"), "strategy", "path").limit(limit).select("path", "title", "score", "match_type")
 
 
