@@ -138,14 +138,11 @@ def _packed(batches, path: str, with_ids: bool):
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """docs -> a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (and ids).
 
-    A document's ids end with id 1; null and empty texts are that id alone. Repeated rows are packed as often as they
-    stand; a null id stays null; an empty table gives no pieces. bucket is log2(length); sequence_id numbers the pieces."""
+    A document's ids end with id 1; null and empty texts are that id alone; a very long text is encoded whole, in a slice of
+    its own. Repeated rows are packed as often as they stand, and equal texts alike; a null id stays null; other columns,
+    whatever their names, play no part; an empty table gives no pieces. bucket is log2(length), to write or batch pieces of
+    one length together; sequence_id numbers the pieces."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     out = rows.mapInArrow(lambda it: _packed(it, path, with_ids), schema)
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
-
-
-def write_buckets(packed: DataFrame, folder: str) -> None:
-    """Writes pieces in a folder for each bucket, so that a batch reads sequences of one length."""
-    packed.write.partitionBy("bucket").parquet(folder)

@@ -382,6 +382,40 @@ def test_passages(spark):
     assert not lost, lost
 
 
+def test_passages_in_long_and_repeated_rows(spark):
+    rng = np.random.default_rng(18)
+    fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    long, shared = fresh(40_000), fresh(70)
+    periodic = ["again", "and"] * 400
+    rows = [(1, long + fresh(5)), (2, fresh(9) + long), (3, fresh(20) + shared), (3, fresh(20) + shared), (4, shared + fresh(30)), (None, shared), (5, fresh(30) + periodic), (6, periodic[:300] + fresh(30)), (7, ["x"] * 49), (8, ["x"] * 49), (9, []), (10, fresh(60))]
+    got = defaultdict(set)
+    out = windows.repeated_passages(docs_of(spark, [(i, " ".join(w), "en", "a", 0) for i, w in rows] + [(11, None, "en", "a", 0)])).collect()
+    for r in out:
+        got[r.doc_id] |= {(r.start_word, r.end_word)}
+    assert got[1] == {(0, 40_000)} and got[2] == {(9, 40_009)} and got[3] == {(20, 90)} and got[4] == {(0, 70)}
+    assert got[5] == {(30, 830)} and got[6] == {(0, 300)} and set(got) == {1, 2, 3, 4, 5, 6}
+
+
+def test_near_passages_recall(spark):
+    """Passages of 60 to 120 words with one edit in about 30 words, as substitutions, insertions and deletions, end to end."""
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"n{rng.integers(10**9)}" for _ in range(n)]
+    rows, edits = [], 0
+    for p in range(120):
+        one = fresh(int(rng.integers(60, 121)))
+        two = list(one)
+        for at in sorted(rng.choice(len(one), len(one) // 60 + 1, replace=False).tolist(), reverse=True):
+            kind = int(rng.integers(3))
+            two[at : at + (kind != 1)] = fresh(1) if kind != 2 else []
+            edits += 1
+        rows += [(2 * p, " ".join(fresh(60) + one + fresh(40)), "en", "a", 0), (2 * p + 1, " ".join(fresh(30) + two + fresh(80)), "en", "a", 0)]
+    sets = {i: shingle_set(t, 5) for i, t, *_ in rows}
+    got = {(min(r.doc_id, r.other_doc), max(r.doc_id, r.other_doc)) for r in windows.repeated_passages(docs_of(spark, rows)).collect()}
+    found = [p for p in range(120) if (2 * p, 2 * p + 1) in got]
+    print("near passages found", len(found), "of 120, edits", edits)
+    assert len(found) >= 108 and all(a // 2 == b // 2 for a, b in got) and len(sets) == 240
+
+
 def test_passages_beyond_a_common_line(spark):
     rng = np.random.default_rng(12)
     fresh = lambda n: [f"v{rng.integers(10**9)}" for _ in range(n)]
