@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import small_batches
+
 CACHED = 1_000_000
 
 # fixed value: the pretoken pattern of this tokenizer family
@@ -129,6 +131,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have 0 bytes and 0 tokens; very long texts are counted whole; null ids stay null; repeated rows are
     counted as often as they stand, equal texts alike; other columns, whatever their names, play no part; an empty table
     gives an empty result. Special strings inside a text count as one token each, as the file has them."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
     out = rows.mapInArrow(lambda it: _counted(it, path), "doc_id long, n_bytes long, n_tokens long")

@@ -47,6 +47,15 @@ def settings(spark: SparkSession, **values: str):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's Arrow batches to so many rows, unless they are smaller: whole texts of 10,000 rows at a time would
+    fill a Python worker. For operators that return a plan which runs later, so that it can't be put back here; each calls
+    it, so that none depends on what ran before it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage: a lost executor rereads them instead of recomputing.
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import byte_letters
+from docloom.llm.common import small_batches
 
 LONGEST, END_ID = 2048, 1
 CACHED = 1_000_000  # entries that each cache of a task holds: what bounds its memory, whatever the corpus
@@ -142,6 +143,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     its own. Repeated rows are packed as often as they stand, and equal texts alike; a null id stays null; other columns,
     whatever their names, play no part; an empty table gives no pieces. bucket is log2(length), to write or batch pieces of
     one length together; sequence_id numbers the pieces."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
     out = rows.mapInArrow(lambda it: _packed(it, path, with_ids), schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, small_batches
 
 STATS = ["words", "word_length", "longest_word", "upper", "digits", "marks", "bars", "bangs", "odd", "wide", "distinct", "distinct_lines", "line_words", "top_word", "sentence_end", "spaces"]
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
@@ -179,6 +179,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col("doc_id").alias(id_col)).distinct()
     training = scratch.keep(measured(docs.select(id_col, text_col).join(known, id_col, "left_semi"), id_col, text_col), "training")
     intercept, rules = train(training, labels)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("row"))
     rows = rows.select("row", F.arrow_udf(_vectors, "array<double>")(F.col("row")[text_col].cast("string")).alias("stats"))
     rows = rows.select("row", *(F.col("stats")[i].alias(c) for i, c in enumerate(STATS)))

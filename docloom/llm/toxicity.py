@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ASCII_LOWER, mix64, shingles, word_hashes
+from docloom.llm.common import ASCII_LOWER, mix64, shingles, small_batches, word_hashes
 
 SAMPLE_ROWS = 8_000  # labelled documents that the model is fitted on, at most
 STEMS = (3, 4, 5, 6)  # bytes of a word's stem
@@ -340,6 +340,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and not held out; repeated rows keep a row each, and equal texts have equal scores; null labels are skipped; without
     labels every score is 0.5. Other columns, whatever their names, play no part; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     model = train(rows, labels, sample_rows)
     out = rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double, spans array<struct<start:int,end:int>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
