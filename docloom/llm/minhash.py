@@ -293,10 +293,11 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the row travels packed in one column; very long texts are compared whole; an empty table stays empty."""
     scratch = Scratch(docs.sparkSession, "first")
     found = scratch.keep(near_duplicates(docs, id_col, text_col, words, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")), "found")
+    # tables of their own, whose sizes Spark knows before it plans the joins
+    gone = scratch.keep(found.filter("NOT kept").select("doc_id"), "gone")
+    again = scratch.keep(found.filter("kept AND n > 1").select("doc_id"), "again")
     rows = docs.select(F.struct("*").alias("row"))
     key = F.col("row")[id_col].cast("long")
-    rows = rows.join(found.filter("NOT kept"), key == found.doc_id, "left_anti")
-    again = found.filter("kept AND n > 1")
-    once = rows.join(again, key == again.doc_id, "left_anti")
+    once = rows.join(gone, key == gone.doc_id, "left_anti").join(again, key == again.doc_id, "left_anti")
     more = rows.join(again, key == again.doc_id, "left_semi").withColumn("text", F.col("row")[text_col]).withColumn("id", key)
     return once.unionByName(more.dropDuplicates(["id", "text"]).select("row")).select("row.*")
