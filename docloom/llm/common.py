@@ -119,9 +119,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     k = min(k, len(words))
     n = len(words) - k + 1
     out = np.full(n, np.uint64(k))
-    for i in range(k):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return out
+    for i in range(k):  # a polynomial of the words' hashes, mixed once
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += words[i : i + n]
+    return mix64(out)
 
 
 def n_words(text: str = "text"):
