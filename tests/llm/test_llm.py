@@ -431,6 +431,38 @@ def test_passages_beyond_a_common_line(spark):
     assert len(want) == 120 and not {d for d, w in want.items() if not w <= got[d]} and got.keys() == want.keys()
 
 
+def test_near_passages_beyond_common_lines(spark):
+    """Near passages whose every longer equal run is a line that an earlier text holds too: each text is still found, however large the line's group."""
+    rng = np.random.default_rng(22)
+    fresh = lambda n: [f"l{rng.integers(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for p in range(40):
+        line, other = fresh(30), fresh(30)
+        leads = [fresh(40) + x + fresh(40) for x in (line, other, line, other)]
+        near = [fresh(20 + 9 * i) + line + fresh(1) + other + fresh(30) for i in range(2)]
+        rows += [(100 * p + i, " ".join(t), "en", "a", 0) for i, t in enumerate(leads + near)]
+        want |= {100 * p + 4 + i: (20 + 9 * i, 81 + 9 * i) for i in range(2)}
+    line, tail = fresh(44), fresh(14)  # a common line, and two texts among many that share words beyond an edit
+    texts = [fresh(30) + line + fresh(30) for _ in range(1500)]
+    for i in (700, 900):
+        texts[i] = fresh(30) + line + fresh(1) + tail + fresh(30)
+        want[10_000 + i] = (30, 89)
+    rows += [(10_000 + i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.start_word, r.end_word) for r in windows.repeated_passages(docs_of(spark, rows)).collect()}
+    print(len(want.keys() - got.keys()), "lost of", len(want))
+    assert got == want
+
+
+def test_every_run_of_24_words_meets():
+    rng = np.random.default_rng(23)
+    for _ in range(300):
+        x, at = rng.integers(0, 1 << 63, 200).astype(np.uint64), int(rng.integers(1, 170))
+        y = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        y[at : at + 24] = x[at : at + 24]
+        one, two = (set(np.concatenate([k for k, *_ in windows.windows([z])]).tolist()) for z in (x, y))
+        assert one & two
+
+
 def test_passages_with_an_insertion(spark):
     rng = np.random.default_rng(13)
     fresh = lambda n: [f"w{rng.integers(10**9)}" for _ in range(n)]
