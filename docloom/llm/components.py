@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch
+from docloom.llm.common import Scratch, released
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +33,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[own], ids[label[own]]
 
 
+@released
 def _contracted(batches, most: int = 1 << 21):
     """Links (a, b) -> those of their stars, a few million links at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WORDS as WORD_HASHES
-from docloom.llm.common import Scratch, mix64, shingles, word_hashes
+from docloom.llm.common import Scratch, mix64, released, shingles, word_hashes
 from docloom.llm.components import components
 
 TREES, DEPTH, LATER, FIRST_TREES, SKETCH_BITS, CROSS, BLOCK = 40, 6, 8, 4, 256, 1024, 4096
@@ -41,6 +41,7 @@ def signature(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
+@released
 def _signed(batches, k: int):
     WORD_HASHES.clear()
     factors = _factors()
@@ -73,6 +74,7 @@ def _signed(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], pa.int64()) for c in ("n", "k1", "k2")), *(pa.array(out[c], longs) for c in ("keys", "orders", "sketch"))], names=["doc_id", "n", "k1", "k2", "keys", "orders", "sketch"])
 
 
+@released
 def _sets(batches, k: int):
     WORD_HASHES.clear()
     for batch in batches:
@@ -80,6 +82,7 @@ def _sets(batches, k: int):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
 
+@released
 def _neighbours(batches):
     """Rows sorted by (region, order, document) -> those that share their region with the row before or after, with the row before.
 
@@ -115,6 +118,7 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in held[0]), pa.array([held[1]], pa.int64())], names=names)
 
 
+@released
 def _confirmed(batches, percent: int):
     for batch in batches:
         a, b = (batch.column(i).to_pylist() for i in (2, 3))
@@ -130,6 +134,7 @@ def _confirmed(batches, percent: int):
         yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
+@released
 def _across(batches, percent: int, most: int):
     """Rows sorted by block of a region -> the groups of linked documents: outer rows against inner ones of another group.
 

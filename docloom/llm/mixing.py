@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, mix64, n_words
+from docloom.llm.common import Scratch, mix64, n_words, released
 
 BLOCK, SHARD_SLOTS, RUN_SHARDS, SEED, MOST, BUCKET_DOCS = 256, 1024, 1024, 20, 3, 2048
 
@@ -120,6 +120,7 @@ def slots(spark: SparkSession, passes: list[dict], runs: np.ndarray, block: int
     for p, b in zip(passes, base, strict=True):
         first.setdefault(p["s"], int(b))
 
+    @released
     def fill(batches):
         import pandas as pd
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.bpe import byte_letters
-from docloom.llm.common import small_batches
+from docloom.llm.common import released, small_batches
 
 LONGEST, END_ID = 2048, 1
 CACHED = 1_000_000  # entries that each cache of a task holds: what bounds its memory, whatever the corpus
@@ -118,6 +118,7 @@ def _slices(texts: pa.Array):
         lo = hi
 
 
+@released
 def _packed(batches, path: str, with_ids: bool):
     words = WordIds(path)
     for batch in batches:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, small_batches
+from docloom.llm.common import Scratch, released, small_batches
 
 STATS = ["words", "word_length", "longest_word", "upper", "digits", "marks", "bars", "bangs", "odd", "wide", "distinct", "distinct_lines", "line_words", "top_word", "sentence_end", "spaces"]
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
@@ -37,6 +37,7 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
+@released
 def _measured(batches):
     for batch in batches:
         found = np.array([statistics(x or b"") for x in batch.column(1).cast(pa.binary()).to_pylist()]).reshape(-1, len(STATS))

@@ -1,8 +1,11 @@
 """The corpus operators against brute force, round trips and held-out labels."""
 
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -597,6 +600,35 @@ def test_mix_equals_its_slots_and_blocks(spark):
     assert len({tuple(sorted(Counter(r.s for r in slots if r.shard == k).items())) for k in list(shards)[:20]}) > 1
 
 
+def test_tasks_give_their_memory_back():
+    """What a worker holds after tasks of signatures and packing, against what it held before: their caches go with them."""
+    run = """
+import re, sys
+import pyarrow as pa
+from docloom.llm import minhash, packing
+from docloom.llm.common import WORDS
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches(n, tag):
+    for i in range(20):
+        texts = [" ".join(f"{tag}{i}x{j}y{k}" for k in range(200)) for j in range(n)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+
+def tasks(n, tag):
+    return sum(b.num_rows for b in minhash._sets(batches(n, tag), 5)) + sum(b.num_rows for b in packing._packed(batches(n, tag), sys.argv[1], True))
+
+tasks(1, "a")
+before = held()
+tasks(100, "b")
+print(len(WORDS), held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", run, tokenizer_path("word_bpe_49k.json")], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=300, check=True).stdout.split()
+    print(out)
+    assert out[0] == "0" and float(out[1]) < 60
+
+
 def test_pipeline_equals_brute_force_by_stage(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
