@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docloom.llm import bpe, caps, components, lines, minhash, mixing, packing, quality, toxicity, vptree, windows
@@ -456,6 +457,27 @@ def test_near_passages_beyond_common_lines(spark):
     assert got == want
 
 
+def test_one_word_again_and_again_has_no_hoods(spark):
+    """Runs with too few distinct shingles around for a passage aren't compared; the others of their group are, even if only two are left."""
+    rng = np.random.default_rng(24)
+    for size in (50, 90, 400):
+        x = rng.integers(0, [3, 30, 1 << 31][size % 3], size).astype("<u4")
+        at = np.arange(size - windows.CONTEXT + 1)
+        around = [x[max(0, a - windows.REACH) : a + windows.CONTEXT + windows.REACH].astype(np.uint64) for a in at]
+        assert windows.distinct_around(x, at).tolist() == [len(set(windows.shingles(w, windows.WORDS).tolist())) for w in around]
+    poor, rich = np.repeat(rng.integers(0, 1 << 31, 2), 100).astype("<u4"), rng.integers(0, 1 << 31, 200).astype("<u4")
+    places = list(range(0, 80))
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2, 3], "words": [x.tobytes() for x in (poor, rich, rich[:50])], "keys": [places, [7, 8], [7, 9]], "ats": [places, [20, 100], [3, 40]], "starts": [None, [90], None], "ends": [None, [150], None]})
+    got = [r for b in windows._hoods([batch], 80) for r in b.to_pylist()]
+    assert [(r["key"], r["doc"], r["at"], r["open"]) for r in got] == [(7, 2, 20, True), (8, 2, 100, False), (7, 3, 3, True)]
+    assert got[0]["hood"] == rich[:99].tobytes()
+    fresh = lambda n: [f"k{rng.integers(10**9)}" for _ in range(n)]
+    line, other = fresh(30), fresh(30)
+    texts = [["the"] * 60 + x + ["of"] * 60 for x in (line, other)] + [fresh(20 + 9 * i) + line + fresh(1) + other + fresh(30) for i in range(2)]
+    rows = [(i, " ".join(t), "en", "a", 0) for i, t in enumerate(texts)]
+    assert {r.doc_id: (r.start_word, r.end_word) for r in windows.repeated_passages(docs_of(spark, rows)).collect() if r.doc_id > 1} == {2: (20, 81), 3: (29, 90)}
+
+
 def test_every_run_of_24_words_meets():
     rng = np.random.default_rng(23)
     for _ in range(300):
