@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Scratch, released, small_batches
+from docloom.llm.common import Scratch, give_back, released, small_batches
 
 STATS = ["words", "word_length", "longest_word", "upper", "digits", "marks", "bars", "bangs", "odd", "wide", "distinct", "distinct_lines", "line_words", "top_word", "sentence_end", "spaces"]
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
@@ -151,7 +151,10 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_ro
     known = known.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(1)) != 1)
     rows = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "__y", *STATS[:3]).select(*STATS, "__y").limit(sample_rows).toArrow()
     data = np.stack([c.to_numpy() for c in rows.columns], axis=1).astype(np.float64) if len(rows) else np.zeros((0, len(STATS) + 1))
-    return fit(data[:, :-1], data[:, -1])
+    out = fit(data[:, :-1], data[:, -1])
+    del rows, data
+    give_back()
+    return out
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out labels."""
 
+import gc
 import re
 import subprocess
 import sys
@@ -622,6 +623,17 @@ def test_mix_equals_its_slots_and_blocks(spark):
     assert len({tuple(sorted(Counter(r.s for r in slots if r.shard == k).items())) for k in list(shards)[:20]}) > 1
 
 
+def test_driver_gives_its_memory_back_between_tables(spark):
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    for _ in range(2):
+        held = [spark._jvm.java.nio.ByteBuffer.allocate(runtime.maxMemory() // 10) for _ in range(6)]
+        assert 2 * runtime.totalMemory() > runtime.maxMemory()
+        del held
+        gc.collect()
+        assert Scratch(spark, "relief").keep(spark.range(3), "rows").count() == 3
+        assert 2 * runtime.totalMemory() <= runtime.maxMemory()
+
+
 def test_tasks_give_their_memory_back():
     """What a worker holds after tasks of signatures and packing, against what it held before: their caches go with them."""
     run = """
