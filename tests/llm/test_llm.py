@@ -479,6 +479,38 @@ def test_one_word_again_and_again_has_no_hoods(spark):
     assert {r.doc_id: (r.start_word, r.end_word) for r in windows.repeated_passages(docs_of(spark, rows)).collect() if r.doc_id > 1} == {2: (20, 81), 3: (29, 90)}
 
 
+def test_a_group_of_near_copies_meets_in_rows_by_its_members(spark):
+    """All members of a group are compared, but the rows grow with the members and not with their pairs; passages are those of the words."""
+    rng = np.random.default_rng(25)
+    draw = lambda n: rng.integers(0, 1 << 31, n).astype("<u4")
+    line, tail = draw(30), draw(30)
+    for size in (60, 240):
+        none = pa.array([None] * size, pa.list_(pa.int32()))
+        texts = [np.concatenate([draw(20 + i % 7), line, draw(1), tail[: 30 - i % 3], draw(40)]) for i in range(size)]
+        batch = pa.RecordBatch.from_pydict({"doc": list(range(size)), "words": [x.tobytes() for x in texts], "keys": [[5]] * size, "ats": [[24 + i % 7] for i in range(size)], "starts": none, "ends": none})
+        batches = [b.to_pydict() for b in windows._hoods([batch], 80)]
+        hoods = spark.createDataFrame([r for b in batches for r in zip(*b.values(), strict=True)], ", ".join(f"{c} {'boolean' if c in ('open', 'part') else 'binary' if c == 'hood' else 'long' if c in ('key', 'doc') else 'int'}" for c in batches[0]))
+        rows = windows.across(hoods, common.Scratch(spark, "test"), 80).collect()
+        assert len(rows) <= 3 * size
+        got = defaultdict(set)
+        for r in rows:
+            got[r.doc].update(range(r.start, r.end))
+            got[r.other].update(range(r.other_start, r.other_end))
+        assert all(got[i] == set(range(20 + i % 7, 20 + i % 7 + 61 - i % 3)) for i in range(size))
+    for _ in range(200):  # pairs whose shingles stand in the same order against the definition, word sets included
+        x = draw(143)
+        y = x.copy()
+        at = rng.choice(np.r_[0:64, 79:143], int(rng.integers(0, 9)), replace=False)
+        y[at] = draw(len(at))
+        s, t = windows.shingles(x.astype(np.uint64), 5), windows.shingles(y.astype(np.uint64), 5)
+        both = s == t
+        place = np.where(both, np.arange(139), 139).astype(np.int16)
+        fits = [(a, b) for a in range(65) for b in range(max(74, a + 45), 139) if both[a] and both[b] and 180 * both[a : b + 1].sum() >= 160 * (b + 1 - a)]
+        found = windows.longest(place < 139, place, 80)
+        assert bool(fits) == bool(found) == bool(windows.dense((place < 139)[None], (place + np.arange(139))[None], 2, 180, 80)[0][0])
+        assert set(found) <= set(fits) and (not fits or (min(found)[0], max(b for _, b in found)) == (min(fits)[0], max(b for _, b in fits)))
+
+
 def test_every_run_of_24_words_meets():
     rng = np.random.default_rng(23)
     for _ in range(300):
