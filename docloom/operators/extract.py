@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,13 +119,32 @@ def chunk_text(text: str, most: int) -> list[dict]:
     return out
 
 
+CHUNKS = pa.list_(pa.struct([("content", pa.string()), ("heading_hierarchy", pa.list_(pa.string())), ("token_count", pa.int32())]))
+
+
+def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[pa.Array]:
+    """An array of texts in its order, in slices of so many bytes at most (256 for a row beside its text), or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 256)
+    start = 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, most + (ends[start - 1] if start else 0), "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def chunked(batches: Iterator[pa.Array], most: int) -> Iterator[pa.Array]:
+    """The chunks of each text, null for a null one; sent back by slices, so that a Python worker never holds a batch of texts with all its chunks."""
+    for texts in batches:
+        for part in slices(texts):
+            yield pa.array([None if t is None else chunk_text(t, most) for t in part.to_pylist()], CHUNKS)
+
+
 def chunks(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
     """(path, chunk_index, content, heading_hierarchy, token_count): lines in order, with a stack of headings; cuts before
-    headings of level 1 and 2 and after max_tokens * 4 characters. One pass over each text, in Arrow batches, no shuffle."""
-    kind = pa.list_(pa.struct([("content", pa.string()), ("heading_hierarchy", pa.list_(pa.string())), ("token_count", pa.int32())]))
+    headings of level 1 and 2 and after max_tokens * 4 characters. One pass over each text, in slices of Arrow batches, no shuffle."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else chunk_text(t, 4 * max_tokens) for t in texts.to_pylist()], kind)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return chunked(batches, 4 * max_tokens)
 
     made = F.arrow_udf(run, "array<struct<content:string,heading_hierarchy:array<string>,token_count:int>>")
     return docs.select("path", F.posexplode(made(F.col("content"))).alias("chunk_index", "k")).select("path", "chunk_index", "k.*")
